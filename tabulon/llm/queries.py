@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mixing, token_count, url_filter
+from . import chat_format, language_id, mixing, quality, token_count, url_filter
 from .common import table
 
 #: Rules of the URL query: verdict, host, path.
@@ -15,6 +15,12 @@ LISTED_SITES = [(f"{name}.example.{top}", "") for name in ("adult-x", "casino-wi
 EXTRA_CONVERSATION = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    judged = quality.judge(docs, table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "p_doc", "p_host", "p_path", "p_bad", "keep")
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
     listed = spark.createDataFrame(LISTED_SITES, "host string, path string")
@@ -22,6 +28,12 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, rules, listed).select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", language_id.held_out("doc_id"))
+    found = language_id.identify(docs.select("doc_id", "held_out", "text"), docs.where("not held_out and doc_id is not null"))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_count.count_tokens(docs, token_count.default_model())
@@ -39,7 +51,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_url_filter, op8_token_counts, op9_chat_formatting, op10_mixing)}
+    return {f.__name__: f for f in (op2_quality, op3_url_filter, op7_language_id, op8_token_counts, op9_chat_formatting, op10_mixing)}
 
 
 def _values(rows: list[tuple]) -> str:
