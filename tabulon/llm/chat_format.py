@@ -67,9 +67,12 @@ def branches(nodes: DataFrame, per_tree: int | None = 1) -> DataFrame:
         leaves = leaves.where(F.col("rank") <= per_tree)
     paths = leaves.select("tree", F.col("node").alias("leaf"), "rank", "node", F.col("depth").alias("place"))
     for k in range(len(links) - 1, -1, -1):
-        jump = links[k].where("up is not null")
-        more = paths.alias("a").join(jump.alias("b"), same("a", "b") & (F.col("a.node") == F.col("b.node")))
-        paths = paths.union(more.select("a.tree", "a.leaf", "a.rank", F.col("b.up").alias("node"), (F.col("a.place") - 2**k).alias("place")))
+        jump = links[k].where("up is not null").select("tree", "node", "up")
+        both = paths.alias("a").join(jump.alias("b"), same("a", "b") & (F.col("a.node") == F.col("b.node")), "left")
+        here = F.struct(F.col("a.node").alias("node"), F.col("a.place").alias("place"))
+        above = F.struct(F.col("b.up").alias("node"), (F.col("a.place") - 2**k).alias("place"))
+        each = F.explode(F.when(F.col("b.up").isNull(), F.array(here)).otherwise(F.array(here, above)))
+        paths = both.select("a.tree", "a.leaf", "a.rank", each.alias("x")).select("tree", "leaf", "rank", "x.node", "x.place")
     out = cut(paths)
     for x in [*links, up]:
         drop_cut(x)
@@ -82,6 +85,7 @@ def format_chats(nodes: DataFrame, per_tree: int | None = 1) -> DataFrame:
     loss_spans cover the escaped texts of assistant turns. A tree without rows has no result. The turns
     of one branch meet in one row, since they make one string; a branch is as long as one conversation.
     """
+    nodes = cut(nodes)
     same = F.col("p.tree").eqNullSafe(F.col("n.tree")) & (F.col("p.node") == F.col("n.node"))
     turns = branches(nodes, per_tree).alias("p").join(nodes.alias("n"), same)
     head = F.concat(F.lit("<|"), escape(F.col("n.role")), F.lit("|>\n"))
