@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, language_id, mixing, quality, token_count, url_filter
+from . import chat_format, decontaminate, embedding_dedup, language_id, mixing, quality, token_count, url_filter
 from .common import table
 
 #: Rules of the URL query: verdict, host, path.
@@ -33,6 +33,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", language_id.held_out("doc_id"))
     found = language_id.identify(docs.select("doc_id", "held_out", "text"), docs.where("not held_out and doc_id is not null"))
@@ -56,7 +60,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality, op3_url_filter, op5_decontamination, op7_language_id, op8_token_counts, op9_chat_formatting, op10_mixing)}
+    return {f.__name__: f for f in (op2_quality, op3_url_filter, op5_decontamination, op6_embedding_dedup, op7_language_id, op8_token_counts, op9_chat_formatting, op10_mixing)}
 
 
 def _values(rows: list[tuple]) -> str:
