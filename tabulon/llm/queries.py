@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, embedding_dedup, language_id, mixing, quality, token_count, url_filter
+from . import chat_format, decontaminate, embedding_dedup, language_id, mixing, near_dedup, quality, token_count, url_filter
 from .common import table
 
 #: Rules of the URL query: verdict, host, path.
@@ -28,6 +28,11 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, rules, listed).select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = near_dedup.groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return g.select(F.col("id").alias("doc_id"), "class_id", "group_rows", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"))
@@ -60,7 +65,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality, op3_url_filter, op5_decontamination, op6_embedding_dedup, op7_language_id, op8_token_counts, op9_chat_formatting, op10_mixing)}
+    return {f.__name__: f for f in (op2_quality, op3_url_filter, op4_near_dedup, op5_decontamination, op6_embedding_dedup, op7_language_id, op8_token_counts, op9_chat_formatting, op10_mixing)}
 
 
 def _values(rows: list[tuple]) -> str:
