@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,7 +118,7 @@ def pieces(batches: Iterable[pa.RecordBatch], text_col: str, max_bytes: int = 4
     for b in batches:
         if b.num_rows == 0:
             continue
-        lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(b.column(text_col)), 0).to_numpy(zero_copy_only=False), np.int64)
+        lengths = np.asarray(pc.fill_null(pc.binary_length(b.column(text_col)), 0).to_numpy(zero_copy_only=False), np.int64)
         group = np.cumsum(lengths) // max_bytes
         starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         for a, z in zip(starts, [*starts[1:], b.num_rows], strict=True):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, embedding_dedup, language_id, mixing, near_dedup, quality, token_count, url_filter
+from . import chat_format, decontaminate, embedding_dedup, language_id, mixing, near_dedup, quality, substring_dedup, token_count, url_filter
 from .common import table
 
 #: Rules of the URL query: verdict, host, path.
@@ -15,6 +15,10 @@ LISTED_SITES = [(f"{name}.example.{top}", "") for name in ("adult-x", "casino-wi
 EXTRA_CONVERSATION = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("d")
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     judged = quality.judge(docs, table(spark, sf_dir, "labels"))
@@ -65,7 +69,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality, op3_url_filter, op4_near_dedup, op5_decontamination, op6_embedding_dedup, op7_language_id, op8_token_counts, op9_chat_formatting, op10_mixing)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_quality, op3_url_filter, op4_near_dedup, op5_decontamination, op6_embedding_dedup, op7_language_id, op8_token_counts, op9_chat_formatting, op10_mixing)}
 
 
 def _values(rows: list[tuple]) -> str:

@@ -8,6 +8,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -110,7 +111,7 @@ def count_tokens(docs: DataFrame, model: str, text: str = "text", limit: int = 4
         for b in batches:
             col = b.column(text)
             n = [m.count(t.as_py()) for t in col]
-            size = pa.compute.fill_null(pa.compute.binary_length(col), 0).cast(pa.int64())
+            size = pc.fill_null(pc.binary_length(col), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), size, pa.array(n, pa.int64())], names=[*names, "n_bytes", "n_tokens"])
 
     return docs.select(keep).mapInArrow(run, schema).withColumn("over_limit", F.col("n_tokens") > limit)
