@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import url_filter
+from .common import cut
 
 #: Fixed seed masks: positions marked 0 are ignored, so a substitution there does not hide a hit.
 MASKS = ("1101100111", "1110011011")
@@ -84,7 +85,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
         blocks = min(1 << 16, n * 16 // url_filter.BLOCK_BITS + 1)
         words = url_filter.bloom_words(wanted.select(F.col("s").alias("key")).distinct(), blocks).scalar()
         found = found.where(url_filter.bloom_hit(words, F.col("s"), blocks))
-    hits = found.join(wanted, "s").groupBy("key", "item_id", (F.col("dp") - F.col("ip")).alias("shift")).agg(F.count("*").alias("seeds"))
+    hits = cut(found.join(wanted, "s").groupBy("key", "item_id", (F.col("dp") - F.col("ip")).alias("shift")).agg(F.count("*").alias("seeds")))
     bodies = texts.join(hits.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]).select("key", token_hashes("__t").alias("d"))
     small = items.groupBy("item_id", "i").agg(F.count("*").alias("copies"))
     if n <= broadcast_seeds:
