@@ -5,10 +5,12 @@ DataFrame functions only. Template of a turn: ``<|role|>\\ntext</s>\\n``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut
+from .common import cut
 
 END = "</s>\n"
 
@@ -46,19 +48,20 @@ def branches(nodes: DataFrame, per_tree: int | None = 1) -> DataFrame:
     base = nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     known = base.select("tree", F.col("node").alias("known"))
     step = base.alias("a").join(known.alias("b"), same("a", "b") & (F.col("a.parent") == F.col("b.known")), "left")
-    up = cut(step.select("a.tree", "a.node", F.col("b.known").alias("up"), F.lit(1).alias("depth"), "a.score"))
-    links, total, rounds = [], up.count(), 0
-    first = up
-    while not up.where("up is not null").isEmpty() and 2**rounds <= total:
-        links.append(up)
-        nxt = up.alias("a").join(up.alias("b"), same("a", "b") & (F.col("a.up") == F.col("b.node")), "left")
-        up = cut(nxt.select("a.tree", "a.node", "b.up", (F.col("a.depth") + F.coalesce("b.depth", F.lit(0))).alias("depth"), (F.col("a.score") + F.coalesce("b.score", F.lit(0.0))).alias("score")))
-        rounds += 1
-    loose = up.where("up is not null").select("tree", "node")  # in or below a cycle
-    is_loose = not loose.isEmpty()
-    if is_loose:
+    state = cut(step.select("a.tree", "a.node", F.col("b.known").alias("up"), F.lit(1).alias("depth"), "a.score"))
+    total, first = state.count(), state
+    done, active, links = [state.where("up is null")], state.where("up is not null"), []
+    while not active.isEmpty() and 2 ** len(links) <= total:
+        links.append(active)
+        known = reduce(DataFrame.union, done, active)
+        nxt = active.alias("a").join(known.alias("b"), same("a", "b") & (F.col("a.up") == F.col("b.node")))
+        state = cut(nxt.select("a.tree", "a.node", "b.up", (F.col("a.depth") + F.col("b.depth")).alias("depth"), (F.col("a.score") + F.col("b.score")).alias("score")))
+        done, active = [*done, state.where("up is null")], state.where("up is not null")
+    if not active.isEmpty():  # in or below a cycle
+        loose = active.select("tree", "node")
         fixed = cut(nodes.alias("n").join(loose.alias("l"), same("n", "l") & (F.col("n.node") == F.col("l.node")), "left").select("n.tree", "n.node", F.when(F.col("l.node").isNull(), F.col("n.parent")).alias("parent"), "n.score"))
         return branches(fixed, per_tree)
+    up = reduce(DataFrame.union, done)
     inner = first.where("up is not null").select("tree", F.col("up").alias("node")).distinct()
     leaves = up.alias("a").join(inner.alias("b"), same("a", "b") & (F.col("a.node") == F.col("b.node")), "left_anti")
     order = Window.partitionBy("tree").orderBy((F.col("score") / F.col("depth")).desc(), F.col("depth").desc(), "node")
@@ -67,15 +70,13 @@ def branches(nodes: DataFrame, per_tree: int | None = 1) -> DataFrame:
         leaves = leaves.where(F.col("rank") <= per_tree)
     paths = leaves.select("tree", F.col("node").alias("leaf"), "rank", "node", F.col("depth").alias("place"))
     for k in range(len(links) - 1, -1, -1):
-        jump = links[k].where("up is not null").select("tree", "node", "up")
+        jump = links[k].select("tree", "node", "up")
         both = paths.alias("a").join(jump.alias("b"), same("a", "b") & (F.col("a.node") == F.col("b.node")), "left")
         here = F.struct(F.col("a.node").alias("node"), F.col("a.place").alias("place"))
         above = F.struct(F.col("b.up").alias("node"), (F.col("a.place") - 2**k).alias("place"))
         each = F.explode(F.when(F.col("b.up").isNull(), F.array(here)).otherwise(F.array(here, above)))
         paths = both.select("a.tree", "a.leaf", "a.rank", each.alias("x")).select("tree", "leaf", "rank", "x.node", "x.place")
     out = cut(paths)
-    for x in [*links, up]:
-        drop_cut(x)
     return out
 
 
