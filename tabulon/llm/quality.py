@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import cut
+from .decontaminate import content_key
+
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 SLOTS = 1 << 16
 _SHAPE = re.compile(r"[^\W\d_]+")
@@ -109,7 +112,7 @@ def sample_labels(docs: DataFrame, labels: DataFrame, faults: tuple[str, ...], d
 
 
 def judge(docs: DataFrame, labels: DataFrame, faults: tuple[str, ...] = ("quality = 0", "toxic = 1"), doc_id: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang", threshold: float = 0.5, sample_rows: int = 2500, sample_chars: int = 20_000) -> DataFrame:
-    """All rows and columns of docs plus p_doc, p_host, p_path, p_bad, keep.
+    """All rows and columns of docs but the text, plus p_doc, p_host, p_path, p_bad, keep.
 
     A linear classifier with a head for each fault is fitted on a bounded sample of labelled documents
     (sample_rows without a fault and as many with each, sample_chars of each) and judges every whole
@@ -117,33 +120,41 @@ def judge(docs: DataFrame, labels: DataFrame, faults: tuple[str, ...] = ("qualit
     host over all documents. Beta priors shrink them: a host's posterior mean lies between its own mean and
     the corpus's, a path's between its own and its host's, each with a prior strength fitted by moments, so
     that sparse sites take their parent's. p_bad replaces the corpus's odds by the path's in
-    the document's. keep: p_bad < threshold.
+    the document's. keep: p_bad < threshold. The scores, without texts, are written to the shared
+    folder, so each text is judged once.
 
     Null texts are judged as empty; null hosts and paths are groups of their own. Labels that are null,
     repeated (the worse counts) or without a document are harmless; without labels of both classes all
     documents get the same p_doc. Repeated documents stay, each weighs in its site.
     """
     texts, y = sample_labels(docs, labels, faults, doc_id, text, sample_rows, sample_chars)
-    w, v = train(texts, y)
-    sent = docs.sparkSession.sparkContext.broadcast((w.astype(np.float32), v))
+    sent = docs.sparkSession.sparkContext.broadcast(train(texts, y))
     made = ("p_doc", "p_host", "p_path", "p_bad", "keep")
-    own = [c for c in docs.columns if c not in made]
-    schema = T.StructType([*docs.select(own).schema.fields, T.StructField("p_doc", T.DoubleType())])
+    names = [c for c in docs.columns if c not in (*made, text)]
+    schema = T.StructType([*docs.select(names).schema.fields, T.StructField("p_doc", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = Slots()
         w, v = sent.value
         for b in batches:
-            z = []
-            for t in b.column(text):
-                z.append(probability(features(t.as_py(), slots), w, v))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(z, pa.float64())], names=[*b.schema.names, "p_doc"])
+            p = [probability(features(t.as_py(), slots), w, v) for t in b.column(text)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(p, pa.float64())], names=[*names, "p_doc"])
 
-    scored = docs.select(*own).mapInArrow(run, schema)
+    scored = cut(docs.select(*names, text).mapInArrow(run, schema))
     return add_sites(scored, host, path, threshold)
 
 
-def strength(n: float, mean_n: float, mean: float, between: float) -> float:
+def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang", **how) -> DataFrame:
+    """docs without those that judge() rejects; columns as they are."""
+    key = content_key(F.col(text)).alias("__ck")
+    slim = docs.select(F.col(doc_id).alias("__id"), key, F.col(host).alias("__host"), F.col(path).alias("__path"), F.col(text).alias("__text"))
+    named = labels.withColumnRenamed(doc_id, "__id")
+    bad = judge(slim, named, doc_id="__id", text="__text", host="__host", path="__path", **how).where("not keep").select("__id", "__ck", "__host", "__path").distinct()
+    match = F.col(doc_id).eqNullSafe(F.col("__id")) & (content_key(F.col(text)) == F.col("__ck")) & F.col(host).eqNullSafe(F.col("__host")) & F.col(path).eqNullSafe(F.col("__path"))
+    return docs.join(bad, match, "left_anti")
+
+
+def strength(mean: float, between: float) -> float:
     """Beta prior strength from the variance of group means about their parent's mean: m(1-m)/variance - 1, in 1..1000."""
     if between <= 0 or mean <= 0 or mean >= 1:
         return 1000.0
@@ -151,20 +162,15 @@ def strength(n: float, mean_n: float, mean: float, between: float) -> float:
 
 
 def add_sites(scored: DataFrame, host: str, path: str, threshold: float) -> DataFrame:
+    """scored(p_doc) plus p_host, p_path, p_bad, keep; see judge()."""
     site = scored.groupBy(F.col(host).alias("__h"), F.col(path).alias("__p")).agg(F.count("*").alias("n"), F.sum("p_doc").alias("s"))
-    return _join_sites(scored, site, host, path, threshold)
-
-
-def _join_sites(scored: DataFrame, site: DataFrame, host: str, path: str, threshold: float) -> DataFrame:
-    from .common import cut
-
     site = cut(site)  # one row a path
     hosts = site.groupBy("__h").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
     moments = lambda d, n, s: d.agg(F.sum(n).alias("n"), F.sum(s).alias("s"), (F.sum(F.expr(f"{s} * {s} / {n}")) / F.sum(n)).alias("q"), F.count("*").alias("k")).first()
     m, mp = moments(hosts, "hn", "hs"), moments(site, "n", "s")
     mean = m.s / m.n if m.n else 0.0
-    a = strength(m.n or 0, 0, mean, (m.q or 0) - mean * mean)
-    b = strength(mp.n or 0, 0, mean, max(0.0, (mp.q or 0) - (m.q or 0)))
+    a = strength(mean, (m.q or 0) - mean * mean)
+    b = strength(mean, max(0.0, (mp.q or 0) - (m.q or 0)))
     hosts = hosts.withColumn("p_host", (F.col("hs") + F.lit(a * mean)) / (F.col("hn") + F.lit(a)))
     site = site.alias("s").join(hosts.alias("h"), F.col("s.__h").eqNullSafe(F.col("h.__h"))).select("s.__h", "s.__p", "p_host", ((F.col("s") + F.lit(b) * F.col("p_host")) / (F.col("n") + F.lit(b))).alias("p_path"))
     logit = lambda p: F.log(F.greatest(F.lit(1e-6), p) / F.greatest(F.lit(1e-6), 1 - p))
