@@ -67,7 +67,7 @@ def normalise_markdown(x: Column) -> Column:
     """Bullets as dashes, numbers with a blank, at most one empty line in a row, no blanks at line ends."""
     for pattern, to in ((r"(?m)^[ \t]*[•*][ \t]+", "- "), (r"(?m)^(\d+)\)[ \t]*", "$1. "), (r"(?m)[ \t]+$", ""), (r"\n{3,}", "\n\n")):
         x = F.regexp_replace(x, pattern, to)
-    return F.trim(x)
+    return F.regexp_replace(x, r"^\s+|\s+$", "")
 
 
 def linkify(x: Column) -> Column:

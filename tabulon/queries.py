@@ -205,11 +205,11 @@ from_sql("math_scalars", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
 from_sql("json_scalars", "SELECT event_id, cast(get_json_object(props, '$.k') AS bigint) AS k FROM events", ("events",), "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
 
 
-@query("SELECT vec_id, 64::INTEGER AS n, embedding[1] AS head, list_position(embedding, embedding[3])::BIGINT AS third, round(list_sum(embedding[1:4])::DOUBLE, 4) AS s4 FROM embeddings")
+@query("SELECT vec_id, 64::INTEGER AS n, embedding[1] AS head, list_position(embedding, embedding[3])::BIGINT AS third, round(list_sum(list_transform(embedding[1:4], lambda x: x::DOUBLE)), 4) + 0.0::DOUBLE AS s4 FROM embeddings")
 def array_scalars(spark: SparkSession, folder: str) -> DataFrame:
     v = F.col("embedding")
     total = F.aggregate(F.slice(v, 1, 4), F.lit(0.0), lambda a, x: a + x.cast("double"))
-    return table(spark, folder, "embeddings").select("vec_id", F.size(v).alias("n"), v[0].alias("head"), F.array_position(v, v[2]).alias("third"), F.round(total, 4).alias("s4"))
+    return table(spark, folder, "embeddings").select("vec_id", F.size(v).alias("n"), v[0].alias("head"), F.array_position(v, v[2]).alias("third"), (F.round(total, 4) + F.lit(0.0)).alias("s4"))
 
 
 @query("SELECT l.l_orderkey, l.l_partkey, l.l_quantity, r.band FROM lineitem l JOIN (VALUES (1.0e0, 10.0e0, 'small'), (10.0e0, 30.0e0, 'medium'), (30.0e0, 51.0e0, 'large')) r(lo, hi, band) ON l.l_quantity >= r.lo AND l.l_quantity < r.hi")

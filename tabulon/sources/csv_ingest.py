@@ -100,7 +100,7 @@ def read_raw(spark: SparkSession, path: str, how: Layout) -> DataFrame:
     """All cells as strings, with __raw: the text of rows whose width is not the header's, else null."""
     fields = ["__index", *how.names] if how.leading_index else [*how.names]
     schema = T.StructType([*(T.StructField(f"c{i}", T.StringType()) for i in range(len(fields))), T.StructField("__raw", T.StringType())])
-    reader = spark.read.schema(schema).options(header=True, sep=how.delimiter, encoding=how.encoding, multiLine=how.multiline, mode="PERMISSIVE", columnNameOfCorruptRecord="__raw", quote='"', escape='"', enforceSchema=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    reader = spark.read.schema(schema).options(header=True, sep=how.delimiter, encoding=how.encoding, multiLine=how.multiline, mode="PERMISSIVE", columnNameOfCorruptRecord="__raw", quote='"', escape='"', enforceSchema=True, columnPruning=False, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return reader.csv(path)
 
 
@@ -158,7 +158,8 @@ def read_csv(spark: SparkSession, path: str, compat: bool = False, numbers: bool
     raw = read_raw(spark, path, how)
     width = len(how.names) + how.leading_index
     long = _too_long(F.col("__raw"), width, how.delimiter)
-    if compat and not raw.where(long).isEmpty():
+    whole = raw.withColumn("__h", F.xxhash64(*[f"c{i}" for i in range(width)]))  # all columns, so that rows are parsed whole
+    if compat and not whole.where(long & (F.col("__h") != 0)).isEmpty():
         how = layout(spark, path, compat, ";")
         raw, width = read_raw(spark, path, how), len(how.names) + how.leading_index
     kept = raw.where(F.col("__raw").isNull() | ~_too_long(F.col("__raw"), width, how.delimiter))
