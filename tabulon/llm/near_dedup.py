@@ -9,15 +9,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import SIMILARITY, WordHashes, components, cut, hashes_of, mix64, pieces, shingles_of, words_of
 from .decontaminate import content_key
 
 SKETCHES, KMERS = 16, 3
 _SEEDS = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-FEW, MANY = 64, 256
+HUBS, FEW, MANY = 2, 256, 1024
 
 
 def labelled(s: np.ndarray) -> np.ndarray:
@@ -163,17 +164,22 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: f
     Texts without words and rows with a null id link with nothing and have their own id.
 
     Copies are one class each. Classes that share one of the order MinHash sketches are candidates. In
-    a first round all classes of a sketch are compared with its least one only. Sketches that still hold
-    classes of several components are then compared in full: every class outside the least one's
+    a first round all classes of a sketch are compared with its HUBS most central ones only. Sketches that still hold
+    classes of several components are then compared in full: every class outside the first hub's
     component against all classes of the sketch, in blocks of FEW by MANY, so no group is gathered in one task.
     """
     src = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).withColumn("ck", content_key("text"))
-    rows = cut(src.mapInArrow(_sketch, src.select("id", "ck").withColumns({"key": F.lit(b""), "sketches": F.expr("array(1L)")}).schema))
+    made = T.StructType([*src.select("id", "ck").schema.fields, T.StructField("key", T.BinaryType()), T.StructField("sketches", T.ArrayType(T.LongType()))])
+    rows = cut(src.mapInArrow(_sketch, made))
     named = rows.where("key is not null and id is not null")
     classes = named.groupBy("key").agg(F.min(F.struct("id", "ck")).alias("first"), F.count("*").alias("n"), F.first("sketches").alias("sketches"))
     spread = cut(classes.select("key", F.posexplode("sketches").alias("i", "sig")).select("key", F.xxhash64("i", "sig").alias("sig")))
-    hubs = spread.groupBy("sig").agg(F.min("key").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    pairs = cut(spread.join(hubs, "sig").where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct())
+    sizes = spread.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1")
+    shared = cut(spread.join(sizes, "sig"))
+    central = shared.groupBy("key").agg(F.sum("size").alias("met"))  # the more others meet it, the nearer it is to all
+    ranked = shared.join(central, "key").withColumn("place", F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("met"), "key")))
+    hubs = cut(ranked.where(F.col("place") <= HUBS).select("sig", F.col("key").alias("hub"), "place"))
+    pairs = cut(shared.join(hubs, "sig").where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct())
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
     texts = classes.select("key", F.col("first.ck").alias("ck")).join(wanted, "key", "left_semi").select("ck")
     words = cut(src.select("ck", "text").join(texts, "ck", "left_semi").dropDuplicates(["ck"]).select("text").mapInArrow(_words, "key binary, words binary"))
@@ -181,7 +187,8 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: f
     links = cut(by_hub.select("a", "b", "words", "hub_words").mapInArrow(_verify(least), "a binary, b binary"))
     comps = cut(components(links))
 
-    left = spread.join(hubs.where("size > 2"), "sig").join(comps, F.col("key") == F.col("node"), "left").select("sig", "key", "hub", "size", F.coalesce("component", "key").alias("comp"))
+    main = hubs.where("place = 1").select("sig", "hub")
+    left = shared.where(f"size > {HUBS + 1}").join(main, "sig").join(comps, F.col("key") == F.col("node"), "left").select("sig", "key", "hub", "size", F.coalesce("component", "key").alias("comp"))
     open_ = left.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.when(F.col("key") == F.col("hub"), F.col("comp"))).alias("main")).where("lo <> hi")
     rest = cut(left.join(open_.select("sig", "main"), "sig").select("sig", "key", "comp", "size", "main"))
     loose = rest.where("comp <> main").groupBy("sig").agg((F.ceil(F.count("*") / FEW)).cast("int").alias("blocks"))
