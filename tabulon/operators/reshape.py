@@ -81,3 +81,41 @@ def quantile_bins(df: DataFrame, name: str, bins: int) -> DataFrame:
     edges = df.agg(F.percentile(F.col(name).cast("double"), F.array(*[F.lit(i / bins) for i in range(1, bins)]))).first()[0]
     place = sum(((F.col(name) > F.lit(e)).cast("int") for e in edges), F.lit(1))
     return df.withColumn(f"{name}_bin", place)
+
+
+def peer_group_frame(value: Column | str, order: list, before: int, after: int, by: list | None = None, how=F.sum) -> tuple[Column, Column]:
+    """(group, aggregate): a frame of whole peer groups, `before` to `after` of them around a row's own.
+
+    The group number must be a column of the frame first: df.withColumn("g", group) and then the aggregate over "g".
+    """
+    keys = by or []
+    group = F.dense_rank().over(Window.partitionBy(*keys).orderBy(*order))
+    return group, how(value).over(Window.partitionBy(*keys).orderBy("g").rangeBetween(-before, after))
+
+
+def without_own_row(value: str, frame) -> Column:
+    """Sum over a frame that leaves out the row itself; null where no other row is in it."""
+    others = F.count(value).over(frame) - F.when(F.col(value).isNotNull(), 1).otherwise(0)
+    return F.when(others > 0, F.sum(value).over(frame) - F.coalesce(value, F.lit(0)))
+
+
+def value_counts(df: DataFrame, name: str) -> DataFrame:
+    return df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("value")).agg(F.count("*").alias("n"))
+
+
+def numbered(df: DataFrame, by: list[str], order: list) -> DataFrame:
+    """df plus n: 0-based number in its group."""
+    return df.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
+
+
+def clip(x: Column, lo: float, hi: float) -> Column:
+    """Limits a value; null stays null."""
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(lo)), F.lit(hi)))
+
+
+def concat(*frames: DataFrame) -> DataFrame:
+    """Rows of all frames; columns that one lacks are null."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out

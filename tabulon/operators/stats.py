@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 QUARTILES = (0.25, 0.5, 0.75)
+#: Accuracy of approximate quantiles: their rank is off by a share of 1 / APPROX at most.
+APPROX = 10_000
 #: Column pairs in one aggregation; wider frames are split.
 PAIRS_AT_ONCE = 400
 
@@ -34,13 +36,19 @@ def is_missing(df: DataFrame, name: str) -> Column:
     return null | F.isnan(q(name)) if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)) else null
 
 
-def column_summary(df: DataFrame, name: str) -> DataFrame:
-    """One row: mean, minimum, maximum, median (exact, interpolated)."""
+def quantiles(x: Column, at: tuple[float, ...], exact: bool = True) -> Column:
+    """Array of quantiles: exact and interpolated, in memory of the distinct values; or approximate, in bounded memory."""
+    places = F.array(*[F.lit(v) for v in at])
+    return F.percentile(x, places) if exact else F.percentile_approx(x, places, APPROX)
+
+
+def column_summary(df: DataFrame, name: str, exact: bool = True) -> DataFrame:
+    """One row: mean, minimum, maximum, median. exact False bounds the memory for huge columns of many values."""
     x = number(name)
-    return df.agg(F.avg(x).alias("mean"), F.min(x).alias("minimum"), F.max(x).alias("maximum"), F.percentile(x, 0.5).alias("median"))
+    return df.agg(F.avg(x).alias("mean"), F.min(x).alias("minimum"), F.max(x).alias("maximum"), quantiles(x, (0.5,), exact)[0].alias("median"))
 
 
-def describe_numeric(df: DataFrame, names: list[str] | None = None) -> DataFrame:
+def describe_numeric(df: DataFrame, names: list[str] | None = None, exact: bool = True) -> DataFrame:
     """Rows (column, stat, value): count, mean, std (sample), min, 25%, 50%, 75%, max of each numeric column, in one aggregation."""
     names = numeric_columns(df) if names is None else names
     if not names:
@@ -48,7 +56,7 @@ def describe_numeric(df: DataFrame, names: list[str] | None = None) -> DataFrame
 
     def stats(name: str) -> Column:
         x = number(name)
-        p = F.percentile(x, F.array(*[F.lit(v) for v in QUARTILES]))
+        p = quantiles(x, QUARTILES, exact)
         pairs = [("count", F.count(x).cast("double")), ("mean", F.avg(x)), ("std", F.stddev_samp(x)), ("min", F.min(x)), *((f"{int(v * 100)}%", p[i]) for i, v in enumerate(QUARTILES)), ("max", F.max(x))]
         return F.array(*[F.struct(F.lit(name).alias("column"), F.lit(k).alias("stat"), v.alias("value")) for k, v in pairs])
 

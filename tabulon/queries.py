@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import scalars, sqlite_compat
+from .functions import registry, scalars, sqlite_compat
 from .operators import context, reshape, stats, topup
 from .plans import analyze, sql
 from .plans.intent import Intent, compile_question
@@ -205,6 +205,107 @@ from_sql("math_scalars", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
 from_sql("json_scalars", "SELECT event_id, cast(get_json_object(props, '$.k') AS bigint) AS k FROM events", ("events",), "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
 
 
+from_sql("sql_order_nulls", "SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS segment FROM customer ORDER BY segment ASC NULLS FIRST, c_custkey LIMIT 20", ("customer",))
+from_sql("sql_case_insensitive", "SELECT c_custkey FROM customer WHERE c_mktsegment ILIKE 'build%' AND lower(c_name) LIKE '%1'", ("customer",))
+from_sql("cube_sums", "SELECT coalesce(l_returnflag, '-') AS f, coalesce(l_linestatus, '-') AS s, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)", ("lineitem",))
+from_sql("rollup_sums", "SELECT coalesce(o_orderpriority, '-') AS p, coalesce(o_orderstatus, '-') AS s, cast(sum(cast(o_totalprice AS decimal(18,2))) AS double) AS total FROM orders GROUP BY ROLLUP (o_orderpriority, o_orderstatus)", ("orders",))
+from_sql("join_natural", "SELECT r_name, count(*) AS n FROM (SELECT n_regionkey AS r_regionkey, n_name FROM nation) n NATURAL JOIN region GROUP BY r_name", ("nation", "region"))
+from_sql("star_join", "SELECT n.n_name, year(o.o_orderdate) AS y, round(sum(l.l_extendedprice * (1 - l.l_discount)), 2) AS revenue FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey WHERE o.o_orderdate >= TIMESTAMP '1996-01-01' GROUP BY n.n_name, year(o.o_orderdate)", ("lineitem", "orders", "customer", "nation"), "SELECT n.n_name, year(o.o_orderdate)::INTEGER AS y, round(sum(l.l_extendedprice * (1 - l.l_discount)), 2) AS revenue FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey WHERE o.o_orderdate >= TIMESTAMP '1996-01-01' GROUP BY n.n_name, year(o.o_orderdate)")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_totalprice > 300000 AND o_orderstatus = 'F'")
+def sql_parameters(spark: SparkSession, folder: str) -> DataFrame:
+    table(spark, folder, "orders").createOrReplaceTempView("orders")
+    return sql.run(spark, "SELECT o_orderkey FROM orders WHERE o_totalprice > :least AND o_orderstatus = :status", {"least": 300000, "status": "F"})
+
+
+@query("SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS n, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 2) AS s FROM orders")
+def win_frame_groups(spark: SparkSession, folder: str) -> DataFrame:
+    frame = lambda how: reshape.peer_group_frame("o_totalprice", ["o_orderpriority"], 1, 1, ["o_custkey"], how)
+    group, total = frame(F.sum)
+    return table(spark, folder, "orders").withColumn("g", group).select("o_orderkey", frame(F.count)[1].alias("n"), F.round(total, 2).alias("s"))
+
+
+@query("SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING EXCLUDE CURRENT ROW), 6) AS near FROM events")
+def win_exclude_current(spark: SparkSession, folder: str) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-2, 2)
+    return table(spark, folder, "events").select("event_id", F.round(reshape.without_own_row("value", w), 6).alias("near"))
+
+
+@query("SELECT event_type AS value, count(*) AS n FROM events GROUP BY 1")
+def value_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return reshape.value_counts(table(spark, folder, "events"), "event_type")
+
+
+@query("SELECT event_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INTEGER AS n FROM events")
+def group_numbers(spark: SparkSession, folder: str) -> DataFrame:
+    return reshape.numbered(table(spark, folder, "events").select("event_id", "user_id", "ts"), ["user_id"], ["ts", "event_id"]).select("event_id", "n")
+
+
+@query("SELECT l_returnflag, count(DISTINCT l_suppkey) AS suppliers, round(var_samp(l_quantity), 6) AS var, round(covar_samp(l_quantity, l_discount), 8) AS cov, quantile_cont(l_quantity, 0.9) AS q90, (SELECT l_linenumber FROM lineitem i WHERE i.l_returnflag = o.l_returnflag GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS mode FROM lineitem o GROUP BY l_returnflag")
+def group_stats(spark: SparkSession, folder: str) -> DataFrame:
+    lineitem = table(spark, folder, "lineitem")
+    counts = lineitem.groupBy("l_returnflag", "l_linenumber").count()
+    modes = counts.groupBy("l_returnflag").agg(F.max_by("l_linenumber", F.struct("count", -F.col("l_linenumber"))).alias("mode"))
+    out = lineitem.groupBy("l_returnflag").agg(F.countDistinct("l_suppkey").alias("suppliers"), F.round(F.var_samp("l_quantity"), 6).alias("var"), F.round(F.covar_samp("l_quantity", "l_discount"), 8).alias("cov"), F.percentile("l_quantity", 0.9).alias("q90"))
+    return out.join(modes, "l_returnflag")
+
+
+@query("SELECT d.doc_id, coalesce(l.quality, -1) AS quality, least(greatest(d.n_chars, 100), 5000)::BIGINT AS chars, CASE d.lang WHEN 'en' THEN 'english' ELSE d.lang END AS lang FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def cleaning(spark: SparkSession, folder: str) -> DataFrame:
+    joined = table(spark, folder, "documents").select("doc_id", "lang", "n_chars").join(table(spark, folder, "labels"), "doc_id", "left")
+    return joined.na.fill({"quality": -1}).replace({"en": "english"}, subset=["lang"]).select("doc_id", "quality", reshape.clip(F.col("n_chars"), 100, 5000).cast("long").alias("chars"), "lang")
+
+
+@query("SELECT c_custkey AS key, c_name AS name, CAST(NULL AS VARCHAR) AS brand FROM customer WHERE c_custkey < 50 UNION ALL SELECT p_partkey, p_name, p_brand FROM part WHERE p_partkey < 50")
+def concat_frames(spark: SparkSession, folder: str) -> DataFrame:
+    a = table(spark, folder, "customer").where("c_custkey < 50").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"))
+    b = table(spark, folder, "part").where("p_partkey < 50").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"))
+    return reshape.concat(a, b)
+
+
+@query("SELECT w AS word, count(*) AS n FROM (SELECT unnest(string_split(lower(p_type), ' ')) AS w FROM part) GROUP BY w")
+def explode_words(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "part").select(F.explode(F.split(F.lower("p_type"), " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey, to_base64(encode(p_name)) AS b64, md5(p_name) AS digest, format('{:.2f}', p_retailprice) AS price FROM part")
+def encode_scalars(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "part").select("p_partkey", F.base64(F.encode("p_name", "UTF-8")).alias("b64"), F.md5("p_name").alias("digest"), F.format_string("%.2f", "p_retailprice").alias("price"))
+
+
+@query("SELECT r_regionkey, r_name, 5::INTEGER AS cols, 'string' AS kind FROM region")
+def json_metadata(spark: SparkSession, folder: str) -> DataFrame:
+    """Metadata written as JSON text and read back by schema."""
+    info = F.to_json(F.struct(F.array(F.lit("a"), F.lit("b")).alias("columns"), F.create_map(F.lit("a"), F.lit("string")).alias("dtypes"), F.struct(F.lit(3).alias("rows"), F.lit(5).alias("cols")).alias("shape")))
+    kept = table(spark, folder, "region").withColumn("info", info)
+    read = kept.withColumn("i", F.from_json("info", "columns array<string>, dtypes map<string,string>, shape struct<rows:int,cols:int>"))
+    return read.select("r_regionkey", "r_name", F.col("i.shape.cols").alias("cols"), F.col("i.dtypes")["a"].alias("kind"))
+
+
+@query("SELECT conv_id, turn FROM conversations WHERE role || '_' || conv_id = 'user_3'")
+def session_key_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "conversations").where(F.concat_ws("_", "role", "conv_id") == "user_3").select("conv_id", "turn")
+
+
+@query("SELECT conv_id, count(*) AS messages, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY conv_id")
+def session_totals(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "conversations").groupBy("conv_id").agg(F.count("*").alias("messages"), F.sum(F.length("text")).cast("long").alias("chars"))
+
+
+@query("SELECT doc_id, 'Based on the above search results and context, please answer the following question: ' || source || '?' || chr(10) || 'AI:' AS prompt FROM documents WHERE doc_id < 20")
+def context_prompt(spark: SparkSession, folder: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    return table(spark, folder, "documents").where("doc_id < 20").select("doc_id", context.prompt(none, F.lit(""), none, F.concat("source", F.lit("?"))).alias("prompt"))
+
+
+@query()
+def registered_functions(spark: SparkSession, folder: str) -> DataFrame:
+    registry.install(spark)
+    table(spark, folder, "part").createOrReplaceTempView("part")
+    return sql.run(spark, "SELECT p_partkey, title_case(p_type) AS kind FROM part")
+
+
 @query("SELECT vec_id, 64::INTEGER AS n, embedding[1] AS head, list_position(embedding, embedding[3])::BIGINT AS third, round(list_sum(list_transform(embedding[1:4], lambda x: x::DOUBLE)), 4) + 0.0::DOUBLE AS s4 FROM embeddings")
 def array_scalars(spark: SparkSession, folder: str) -> DataFrame:
     v = F.col("embedding")

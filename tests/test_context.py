@@ -22,6 +22,15 @@ def test_topup_small_limit(spark):
     assert counts(spark, 3, 5, 9, most=1) == (2, 0, 0)
 
 
+def test_connectors(spark):
+    from tabulon.sources.search import Connector, search
+
+    hits = lambda name: lambda q, n: [{"title": f"{name} {q} {i}", "href": "u"} for i in range(9)]
+    bad = Connector("bad", lambda q, n: 1 / 0)
+    got = search(spark, "x", Connector("a", hits("a")), bad, Connector("w", hits("w"))).collect()
+    assert [r.engine for r in got] == ["a", "a", "w", "w", "w"] and got[2].title == "w x 0"
+
+
 def test_search_status(spark):
     hits = spark.createDataFrame([("a", 1, "t", "b" * 90, "u"), ("a", 2, "", None, "u"), ("a", 3, "", "body", ""), ("b", 1, "", "", ""), ("c", 1, "t", "", "")], "k string, rank int, title string, body string, href string")
     got = {r.k: r for r in context.search_context(hits, ["k"]).collect()}

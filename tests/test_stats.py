@@ -57,6 +57,12 @@ def test_describe(spark):
     assert tuple(stats.describe_categorical(df, ["s"]).first()) == ("s", 3, 2, "a", 2)
 
 
+def test_approximate_quantiles(spark):
+    df = spark.range(10_001).select(F.col("id").cast("double").alias("x"))
+    got = {r.stat: r.value for r in stats.describe_numeric(df, exact=False).collect()}
+    assert got["50%"] == pytest.approx(5000, abs=3) and got["25%"] == pytest.approx(2500, abs=3)
+
+
 def test_corr(spark):
     df = frame(spark, [(1.0, 2.0, 7.0), (2.0, None, 7.0), (None, 3.0, 7.0), (4.0, 9.0, 7.0), (5.0, 1.0, 7.0)], "x double, y double, k double")
     got = {(r.x, r.y): r["corr"] for r in stats.corr_matrix(df).collect()}
