@@ -35,8 +35,10 @@ def bloom_words(keys: DataFrame, blocks: int) -> DataFrame:
     """One row with `words`: the filter of column key as an array of blocks * 8 longs."""
     each = F.explode(F.array(*[F.struct(w.alias("w"), F.expr("1L").alias("one"), b.cast("int").alias("b")) for w, b in _bits(F.col("key"), blocks)]))
     set_words = keys.select(each.alias("x")).groupBy("x.w").agg(F.bit_or(F.expr("shiftleft(x.one, x.b)")).alias("v"))
-    as_map = set_words.agg(F.map_from_entries(F.collect_list(F.struct(F.col("w"), F.col("v")))).alias("m"))
-    return as_map.select(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(blocks * WORDS - 1).cast("long")), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0).cast("long"))).alias("words"))
+    blank = keys.sparkSession.range(blocks * WORDS).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("v"))
+    every = blank.union(set_words).groupBy("w").agg(F.bit_or("v").alias("v"))
+    pairs = F.array_sort(F.collect_list(F.struct("w", "v")))  # blocks * WORDS rows, whatever the keys are
+    return every.agg(F.transform(pairs, lambda p: p.v).alias("words"))
 
 
 def bloom_hit(words: Column, key: Column, blocks: int) -> Column:
