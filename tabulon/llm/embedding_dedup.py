@@ -200,6 +200,7 @@ def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embe
     members = cut(placed.select("*", F.explode("shards").alias("shard")))
 
     def build(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("cid")  # so that the search splits a large shard alike
         x, cid = unit(np.stack(g.v.to_numpy())), g.cid.to_numpy()
         out = []
         for part in parts(x):
@@ -208,6 +209,7 @@ def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embe
         return pd.DataFrame(out, columns=["cid", "near"])
 
     def search(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("cid")
         x, cid, n, shard = unit(np.stack(g.v.to_numpy())), g.cid.to_numpy(), g.n.to_numpy(), int(g.shard.iloc[0])
         place = {c: i for i, c in enumerate(cid.tolist())}
         near = [np.array(sorted({place[c] for c in e if c in place}), np.int64) for e in g.near]

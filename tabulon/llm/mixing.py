@@ -65,6 +65,8 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", budget: int
     base = docs.select(*own).withColumn("__n", n_tokens).withColumn("__h", F.xxhash64(F.lit(seed), *plain))
     spark = docs.sparkSession
     per_source = base.groupBy(F.col(source).alias("s")).agg(F.sum("__n").alias("n"), F.count("*").alias("rows")).collect()  # one row a source
+    if not per_source:
+        return docs.select(*own).limit(0).withColumns({"mix_pass": F.lit(0), "mix_block": F.lit(0), "mix_order": F.struct(F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("row"))})
     tokens = {r.s: r.n for r in per_source}
     total = sum(tokens.values())
     budget = total if budget is None else budget
@@ -78,12 +80,12 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", budget: int
             whole, rest = whole + 1, 0.0
         plan.append((r.s, max(1, min(max_blocks, -(-r.rows // block_docs))), whole, float(rest)))
     kind = docs.schema[source].dataType.simpleString()
-    chosen = F.broadcast(spark.createDataFrame(plan, f"__s {kind}, __blocks int, __whole int, __rest double"))
+    chosen = spark.createDataFrame(plan, f"__s {kind}, __blocks int, __whole int, __rest double")  # Spark broadcasts it where it is small
     dealt = base.join(chosen, F.col(source).eqNullSafe(F.col("__s"))).withColumn("mix_block", F.pmod("__h", "__blocks").cast("int")).withColumn("__key", F.xxhash64(F.lit(seed), "__whole", "mix_block"))
     blocks = dealt.groupBy("__s", "mix_block", "__key").agg(F.sum("__n").alias("__bn"), F.first("__rest").alias("__rest"))
     run = Window.partitionBy("__s").orderBy("__key", "mix_block").rowsBetween(Window.unboundedPreceding, -1)
     cum = blocks.withColumn("__before", F.coalesce(F.sum("__bn").over(run), F.lit(0))).select("__s", "mix_block", "__bn", "__before", (F.col("__rest") - F.col("__before")).alias("__left"))
-    last = F.broadcast(cum.where("__left > 0").withColumnRenamed("__s", "__c").withColumnRenamed("mix_block", "__b"))  # at most max_blocks rows a source
+    last = cum.where("__left > 0").withColumnRenamed("__s", "__c").withColumnRenamed("mix_block", "__b")  # at most max_blocks rows a source
     state = dealt.join(last, F.col("__s").eqNullSafe(F.col("__c")) & (F.col("mix_block") == F.col("__b")), "left")
     full = state.withColumn("mix_pass", F.explode(F.sequence(F.lit(0), F.col("__whole")))).where("mix_pass < __whole or __left >= __bn")
     within = Window.partitionBy("__s", "mix_block").orderBy("__h", "__n").rowsBetween(Window.unboundedPreceding, -1)
