@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 SPACE = "▁"
 _PIECE = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 NORMAL, USER_DEFINED, UNUSED = 1, 4, 5
-CACHE = 300_000
+CACHE = 500_000
 
 
 class Merges:
@@ -38,7 +38,7 @@ class Merges:
         self.rank = {p.piece: -p.score for p in m.pieces if p.type in (NORMAL, UNUSED)}
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.rank):
             raise ValueError("a piece holds white space after another character")
-        self.cache: dict[str, int] = {}
+        self.cache = Counts(self)
 
     def merged(self, word: str) -> int:
         """Initial symbols (a character, or its bytes where it is no piece) less the merges."""
@@ -73,17 +73,23 @@ class Merges:
     def count(self, text: str | None) -> int:
         if not text:
             return 0
-        cache, total = self.cache, 0
-        for w in _PIECE.findall(SPACE + text.replace(" ", SPACE)):
-            c = cache.get(w)
-            if c is None:
-                c = self.merged(w)
-                if len(w) <= 64:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    cache[w] = c
-            total += c
-        return total
+        return sum(map(self.cache.__getitem__, _PIECE.findall(SPACE + text.replace(" ", SPACE))))
+
+
+class Counts(dict):
+    """Word to its tokens; long words are not kept, and all are forgotten at CACHE words."""
+
+    def __init__(self, merges: Merges):
+        super().__init__()
+        self.merges = merges
+
+    def __missing__(self, word: str) -> int:
+        n = self.merges.merged(word)
+        if len(word) <= 64:
+            if len(self) >= CACHE:
+                self.clear()
+            self[word] = n
+        return n
 
 
 _loaded: dict[str, Merges] = {}
