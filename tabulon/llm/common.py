@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import tempfile
 import uuid
@@ -52,11 +53,16 @@ def _tidy() -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df once to the shared folder and read it back, so that lost executors recompute nothing before it."""
+    """Write df once to the shared folder and read it back, so that lost executors recompute nothing before it.
+
+    The shuffle files behind df are then needless; the driver's collection of garbage lets Spark delete them.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tabulon-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -188,6 +188,18 @@ def test_passages_go_once(spark):
     assert sub.repeats(frame.limit(0)).count() == 0 and sub.remove_repeats(frame.limit(0)).columns == frame.columns
 
 
+def test_passage_behind_a_common_line(spark):
+    """Texts share 64 words with each other, of which the first 36 words stand in a hundred texts before them."""
+    rnd = random.Random(9)
+    line = words(rnd, 36)
+    tails = [words(rnd, 28) for _ in range(5)]
+    rows = [(i, " ".join(words(rnd, 60) + line + words(rnd, 60))) for i in range(100)]
+    rows += [(200 + 10 * k + j, " ".join(words(rnd, 60) + line + tails[k] + words(rnd, 60))) for k in range(5) for j in range(4)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    later = {r.doc_id for r in sub.repeats(frame).collect() if r.role == "later"}
+    assert later == {200 + 10 * k + j for k in range(5) for j in range(1, 4)}
+
+
 # --- embeddings
 
 
