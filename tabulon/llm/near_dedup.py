@@ -174,7 +174,7 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: f
     named = rows.where("key is not null and id is not null")
     classes = named.groupBy("key").agg(F.min(F.struct("id", "ck")).alias("first"), F.count("*").alias("n"), F.first("sketches").alias("sketches"))
     spread = cut(classes.select("key", F.posexplode("sketches").alias("i", "sig")).select("key", F.xxhash64("i", "sig").alias("sig")))
-    sizes = spread.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1")
+    sizes = cut(spread.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1"))
     shared = cut(spread.join(sizes, "sig"))
     central = shared.groupBy("key").agg(F.sum("size").alias("met"))  # the more others meet it, the nearer it is to all
     ranked = shared.join(central, "key").withColumn("place", F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("met"), "key")))
