@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import re
 import tempfile
@@ -66,6 +67,18 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Batches of at most `rows` rows between Spark and Python for what is written inside: for rows with long texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def drop_cut(df: DataFrame) -> None:
     """Delete what cut() wrote for df, once no later plan reads it."""
     for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
@@ -139,17 +152,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     pair = F.array_sort(F.array(F.col(a), F.col(b)))
     e = cut(edges.where(F.col(a) != F.col(b)).select(pair[1].alias("u"), pair[0].alias("v")).distinct())
-    while True:
+    h = F.xxhash64("u", "v")
+    seen = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(h), F.bit_xor(F.xxhash64(h)), F.sum(F.pmod(h, F.lit(1 << 20)))).first())
+    before = seen(e)
+    while before[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low2, "u")
-        small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low2.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        n = cut(small)
-        same = n.count() == e.count() and n.exceptAll(e).isEmpty()
+        small = large.join(low2, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        n = cut(small.union(low2.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         drop_cut(e)
-        e = n
-        if same:
+        now, e = seen(n), n
+        if now == before:
             break
+        before = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
