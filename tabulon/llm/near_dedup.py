@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SIMILARITY, WordHashes, components, cut, hashes_of, mix64, pieces, shingles_of, words_of
+from .common import SIMILARITY, WordHashes, arrow_rows, components, cut, hashes_of, mix64, pieces, shingles_of, words_of
 from .decontaminate import content_key
 
 SKETCHES, KMERS = 16, 3
@@ -184,7 +184,8 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: f
     texts = classes.select("key", F.col("first.ck").alias("ck")).join(wanted, "key", "left_semi").select("ck")
     words = cut(src.select("ck", "text").join(texts, "ck", "left_semi").dropDuplicates(["ck"]).select("text").mapInArrow(_words, "key binary, words binary"))
     by_hub = pairs.join(words.withColumnRenamed("key", "a"), "a").join(words.select(F.col("key").alias("b"), F.col("words").alias("hub_words")), "b")
-    links = cut(by_hub.select("a", "b", "words", "hub_words").mapInArrow(_verify(least), "a binary, b binary"))
+    with arrow_rows(docs.sparkSession, 1000):
+        links = cut(by_hub.select("a", "b", "words", "hub_words").mapInArrow(_verify(least), "a binary, b binary"))
     comps = cut(components(links))
 
     main = hubs.where("place = 1").select("sig", "hub")
