@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import components, cut
 
-DEGREE, ALPHA, BEAM, NEAREST = 20, 1.2, 24, 80
+DEGREE, ALPHA, BEAM, NEAREST, RANDOM, MEDOIDS = 20, 1.2, 24, 80, 16, 12
 SHARD, OVERLAP = 1000, 2
 #: A shard that clustering leaves larger than this (a dense ball) is split again inside its task.
 SHARD_MOST = 4 * SHARD
@@ -48,8 +48,8 @@ def robust_prune(order: np.ndarray, to_p: np.ndarray, x: np.ndarray, degree: int
 
 
 def build_graph(x: np.ndarray) -> list[list[int]]:
-    """Adjacency lists of one shard: pruned nearest rows, their reverse edges, and edges that make all rows reachable from the medoid."""
-    n = len(x)
+    """Adjacency lists of one shard: pruned nearest rows, a few pruned random ones, reverse edges, and edges that make all rows reachable from the medoids."""
+    n, rnd = len(x), np.random.default_rng(len(x))
     f = x.astype(np.float32)
     out: list[list[int]] = []
     for a in range(0, n, 256):
@@ -59,13 +59,15 @@ def build_graph(x: np.ndarray) -> list[list[int]]:
         near = np.argpartition(-s, k - 1, 1)[:, :k] if k else np.zeros((len(s), 0), int)
         for i in range(len(s)):
             o = near[i][np.argsort(-s[i][near[i]], kind="stable")]
-            out.append(robust_prune(o, s[i], f))
+            far = np.setdiff1d(rnd.integers(0, n, RANDOM), [a + i])
+            far = far[np.argsort(-s[i][far], kind="stable")]
+            out.append([*dict.fromkeys(robust_prune(o, s[i], f) + robust_prune(far, s[i], f, degree=DEGREE // 5))])
     for i, near in enumerate([*map(list, out)]):
         for j in near:
             if len(out[j]) < 2 * DEGREE and i not in out[j]:
                 out[j].append(i)
     seen = np.zeros(n, bool)
-    reach = [medoid(x)]
+    reach = medoids(x).tolist()
     while True:
         seen[reach] = True
         stack = list(reach)
@@ -84,17 +86,20 @@ def build_graph(x: np.ndarray) -> list[list[int]]:
         reach = [i]
 
 
-def medoid(x: np.ndarray) -> int:
-    return int(np.argmax(x @ x.sum(0)))
+def medoids(x: np.ndarray) -> np.ndarray:
+    """The rows nearest to the centroids of at most MEDOIDS clusters: where searches start."""
+    return np.unique(np.argmax(x @ cluster(x, min(MEDOIDS, len(x))).T, 0))
 
 
-def range_search(q: np.ndarray, x: np.ndarray, near: list[np.ndarray], start: int, least: float, beam: int = BEAM) -> np.ndarray:
-    """Rows with cosine >= least to q: greedy search from start, then expansion around all rows in range."""
+def range_search(q: np.ndarray, x: np.ndarray, near: list[np.ndarray], start: np.ndarray, least: float, beam: int = BEAM) -> np.ndarray:
+    """Rows with cosine >= least to q: greedy search from the rows `start`, then expansion around all rows in range."""
     seen = np.zeros(len(x), bool)
     seen[start] = True
-    s = float(x[start] @ q)
-    todo, best = [(-s, start)], [s]
-    found = [np.array([start], np.int64)] if s >= least else []
+    sims = x[start] @ q
+    todo = [(-s, i) for s, i in zip(sims.tolist(), start.tolist(), strict=True)]
+    heapq.heapify(todo)
+    best = sorted(sims.tolist())[-beam:]
+    found = [start[sims >= least]]
     while todo:
         s, i = heapq.heappop(todo)
         if len(best) >= beam and -s < best[0]:
@@ -133,8 +138,11 @@ def shards_of(x: np.ndarray, centroids: np.ndarray, overlap: int = OVERLAP) -> n
     return np.argpartition(-s, k - 1, 1)[:, :k] if k < len(centroids) else np.tile(np.arange(k), (len(x), 1))
 
 
-def cluster(x: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
-    """Unit centroids of spherical k-means, started on evenly spaced rows."""
+def cluster(x: np.ndarray, k: int, rounds: int = 6, apart: float = 0.93) -> np.ndarray:
+    """Unit centroids of spherical k-means, started on evenly spaced rows.
+
+    Of centroids nearer to each other than `apart` only one stays, so that a dense ball is not cut.
+    """
     c = x[np.linspace(0, len(x) - 1, k).astype(int)]
     for _ in range(rounds):
         own = np.argmax(x @ c.T, 1)
@@ -142,7 +150,11 @@ def cluster(x: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
         np.add.at(total, own, x)
         size = np.linalg.norm(total, axis=1)
         c = np.where(size[:, None] > 1e-9, total / np.maximum(size, 1e-9)[:, None], c)
-    return c
+    kept: list[int] = []
+    for i in range(len(c)):
+        if not kept or (c[kept] @ c[i]).max() < apart:
+            kept.append(i)
+    return c[kept]
 
 
 def parts(x: np.ndarray) -> list[np.ndarray]:
@@ -165,9 +177,9 @@ def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embe
 
     Each class goes to the OVERLAP nearest of its label's clusters of some SHARD classes (centroids from a sample of SAMPLE
     classes, at most CENTROIDS a label). Every shard builds a robust-pruned graph; the adjacency lists of
-    a class are united over its shards; in every shard each class is searched for from the medoid, with
+    a class are united over its shards; in every shard each class is searched for from medoids, with
     range expansion, and each pair found is verified in double precision and counted in the first shard
-    that it shares. A dense ball cannot be cut by clustering: its shard is then split inside its task.
+    that it shares. A dense ball is never cut; a shard that is large all the same is split inside its task.
     """
     ok = usable(vector) & F.col(label).isNotNull() & F.col(vec_id).isNotNull()
     typed = rows.select(F.col(vec_id).alias("id"), F.when(ok, F.xxhash64(F.col(label).cast("string"), F.col(vector))).alias("cid"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("v"))
@@ -214,7 +226,7 @@ def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embe
         place = {c: i for i, c in enumerate(cid.tolist())}
         near = [np.array(sorted({place[c] for c in e if c in place}), np.int64) for e in g.near]
         mine = np.array([[s for s in t if s != shard] for t in g.shards]) if len(g.shards.iloc[0]) > 1 else np.zeros((len(g), 0), int)
-        mids = [int(p[medoid(x[p])]) for p in parts(x) if len(p)]
+        start = np.unique(np.concatenate([p[medoids(x[p])] for p in parts(x) if len(p)]))
         links, parent = [set() for _ in cid], list(range(len(cid)))
 
         def top(i: int) -> int:
@@ -224,10 +236,7 @@ def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embe
             return i
 
         for i in range(len(cid)):
-            for mid in mids:
-                for j in range_search(x[i], x, near, mid, least):
-                    if j != i:
-                        links[i].add(int(j))
+            links[i] |= {*range_search(x[i], x, near, start, least).tolist()} - {i}
         for i in range(len(cid)):  # a link found from one side holds for both
             for j in links[i]:
                 links[j].add(i)

@@ -147,6 +147,15 @@ def test_compact_windows_cover_every_run():
             assert sum(left <= a and z <= right and m == c for left, m, right in windows) == 1
 
 
+def test_run_hashes():
+    rnd = np.random.default_rng(2)
+    h = rnd.integers(0, 1 << 63, 300).astype(np.uint64)
+    h[200:260] = h[20:80]
+    got = sub.runs_at(h, np.arange(276), 25)
+    assert (got[200:236] == got[20:56]).all() and len(set(got.tolist())) == 276 - 36
+    assert (sub.runs_at(h[20:80], np.arange(36), 25) == got[20:56]).all()
+
+
 def run_counts(texts):
     c, n = WordHashes(), Counter()
     for t in texts:
@@ -256,7 +265,7 @@ def test_query_recall():
     x = emb.unit(vectors(rnd, 600, 32))
     x[300:] = emb.unit(x[:300] + rnd.normal(size=(300, 32)) * 0.04)
     graph = [np.array(g) for g in emb.build_graph(x)]
-    start = emb.medoid(x)
+    start = emb.medoids(x)
     hits = sum(set(np.flatnonzero(x @ x[i] >= 0.93)) == set(emb.range_search(x[i], x, graph, start, 0.93).tolist()) for i in range(0, 600, 10))
     assert hits >= 57
 
