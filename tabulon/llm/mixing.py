@@ -45,7 +45,7 @@ def temperature(tokens: dict, budget: float, target_entropy: float, max_repeats:
     return exponent, weights_at(live, exponent)
 
 
-def mix(docs: DataFrame, source: str = "source", text: str = "text", budget: int | None = None, target_entropy: float = 0.97, max_repeats: float = 4.0, block_docs: int = 256, max_blocks: int = 4096, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, source: str = "source", text: str = "text", budget: int | None = None, target_entropy: float = 0.97, max_repeats: float = 4.0, block_docs: int = 256, max_blocks: int = 4096, seed: int = 17, broadcast_rows: int = 200_000) -> DataFrame:
     """Rows of docs in the chosen amounts: each row as often as it is used, plus mix_pass (0, 1, ...), mix_block, mix_order.
 
     Tokens are runs of non-space characters. budget: tokens to emit, all tokens of docs if None.
@@ -54,7 +54,7 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", budget: int
     whole passes, then blocks of its last pass until its budget, and in the block where it is reached,
     rows until it is reached (the row that crosses it counts). Reading (mix_pass, mix_order) gives the
     sequence. Only one number for each source and block is gathered; no row is sorted outside the one cut
-    block a source.
+    block a source. The table of blocks is broadcast up to broadcast_rows blocks, else joined by shuffle.
     Null is a source of its own. Rows without tokens go along with their block. Repeated rows are dealt
     to the same block and are ordered by their tokens only, so they stay as many as they are. Columns
     named mix_* are replaced.
@@ -80,12 +80,13 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", budget: int
             whole, rest = whole + 1, 0.0
         plan.append((r.s, max(1, min(max_blocks, -(-r.rows // block_docs))), whole, float(rest)))
     kind = docs.schema[source].dataType.simpleString()
-    chosen = spark.createDataFrame(plan, f"__s {kind}, __blocks int, __whole int, __rest double")  # Spark broadcasts it where it is small
+    hint = F.broadcast if sum(p[1] for p in plan) <= broadcast_rows else lambda df: df
+    chosen = hint(spark.createDataFrame(plan, f"__s {kind}, __blocks int, __whole int, __rest double"))
     dealt = base.join(chosen, F.col(source).eqNullSafe(F.col("__s"))).withColumn("mix_block", F.pmod("__h", "__blocks").cast("int")).withColumn("__key", F.xxhash64(F.lit(seed), "__whole", "mix_block"))
     blocks = dealt.groupBy("__s", "mix_block", "__key").agg(F.sum("__n").alias("__bn"), F.first("__rest").alias("__rest"))
     run = Window.partitionBy("__s").orderBy("__key", "mix_block").rowsBetween(Window.unboundedPreceding, -1)
     cum = blocks.withColumn("__before", F.coalesce(F.sum("__bn").over(run), F.lit(0))).select("__s", "mix_block", "__bn", "__before", (F.col("__rest") - F.col("__before")).alias("__left"))
-    last = cum.where("__left > 0").withColumnRenamed("__s", "__c").withColumnRenamed("mix_block", "__b")  # at most max_blocks rows a source
+    last = hint(cum.where("__left > 0").withColumnRenamed("__s", "__c").withColumnRenamed("mix_block", "__b"))  # at most a row a block
     state = dealt.join(last, F.col("__s").eqNullSafe(F.col("__c")) & (F.col("mix_block") == F.col("__b")), "left")
     full = state.withColumn("mix_pass", F.explode(F.sequence(F.lit(0), F.col("__whole")))).where("mix_pass < __whole or __left >= __bn")
     within = Window.partitionBy("__s", "mix_block").orderBy("__h", "__n").rowsBetween(Window.unboundedPreceding, -1)

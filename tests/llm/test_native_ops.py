@@ -197,4 +197,6 @@ def test_mix_budgets(spark):
     assert all(n <= once[k[:3]] for k, n in passes.items())
     again = mixing.mix(frame.repartition(5), block_docs=16).collect()
     assert Counter((r.source, r.doc_id, r.mix_pass) for r in again) == Counter((r.source, r.doc_id, r.mix_pass) for r in got)
+    far = mixing.mix(frame, block_docs=16, broadcast_rows=0).collect()
+    assert Counter((r.source, r.doc_id, r.mix_pass) for r in far) == Counter((r.source, r.doc_id, r.mix_pass) for r in got)
     assert mixing.mix(frame.limit(0)).count() == 0
