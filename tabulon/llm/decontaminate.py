@@ -98,7 +98,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", **how) -> DataFrame:
-    """All columns of docs but the text, item_id, start, size, same, similarity: a row for each document and item that overlap."""
+    """All columns of docs but the text, and item_id, start, size, same, similarity: a row for each document and item that overlap.
+
+    Input columns with these names, or named key, are left out.
+    """
     own = [c for c in docs.columns if c not in (text, "item_id", "start", "size", "same", "similarity", "key")]
     found = overlaps(docs, benchmark, text, **how)
     out = docs.select(*own, content_key(F.col(text)).alias("key")).join(found, "key").drop("key")
