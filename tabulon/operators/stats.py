@@ -98,16 +98,32 @@ def safe_corr(x: Column, y: Column) -> Column:
 
 
 def corr_matrix(df: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """Rows (x, y, corr) for every ordered pair of numeric columns; pairwise complete, each pair computed once."""
+    """Rows (x, y, corr) for every ordered pair of numeric columns; pairwise complete, each pair computed once.
+
+    A first pass finds each column's mean and whether it has gaps. Pairs of columns without gaps are then a plain sum of
+    products of centred values; only pairs with gaps need sums of their own rows.
+    """
     names = numeric_columns(df) if names is None else names
-    pairs = [*combinations_with_replacement(names, 2)]
-    frames = []
+    if not names:
+        return df.sparkSession.createDataFrame([], "x string, y string, corr double")
+    facts = df.agg(F.count("*"), *[f(number(n)) for n in names for f in (F.count, F.avg, F.min, F.max)]).first()
+    full, mean, constant = {}, {}, {}
+    for i, n in enumerate(names):
+        count, mean[n], lo, hi = facts[1 + 4 * i : 5 + 4 * i]
+        full[n], constant[n] = count == facts[0] and count > 0, lo == hi
+    pairs, frames = [*combinations_with_replacement(names, 2)], []
+    centred = lambda n: number(n) - F.lit(mean[n])
+    product = lambda a, b: F.sum(centred(a) * centred(b))
+
+    def value(a: str, b: str) -> Column:
+        if constant[a] or constant[b]:
+            return F.lit(None).cast("double")
+        if full[a] and full[b]:
+            return F.try_divide(product(a, b), F.sqrt(product(a, a) * product(b, b)))
+        return safe_corr(number(a), number(b))
+
     for i in range(0, len(pairs), PAIRS_AT_ONCE):
-        cells = []
-        for a, b in pairs[i : i + PAIRS_AT_ONCE]:
-            value = safe_corr(number(a), number(b))
-            for x, y in {(a, b), (b, a)}:
-                cells.append(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), value.alias("corr")))
+        cells = [F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), v.alias("corr")) for a, b in pairs[i : i + PAIRS_AT_ONCE] for v in [value(a, b)] for x, y in sorted({(a, b), (b, a)})]
         frames.append(df.agg(F.array(*cells).alias("all")).select(F.inline("all")))
     return reduce(DataFrame.unionByName, frames)
 

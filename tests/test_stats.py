@@ -70,6 +70,19 @@ def test_corr(spark):
     assert got["x", "k"] is None and got["k", "k"] is None and got["x", "x"] == pytest.approx(1)
 
 
+def test_corr_without_gaps(spark):
+    rnd = np.random.default_rng(1)
+    x = rnd.normal(size=(50, 3)) * [1, 1e-3, 1e6] + [0, 5, 1e9]
+    df = spark.createDataFrame([(*map(float, r), 0.1) for r in x], "a double, b double, c double, k double")
+    got = {(r.x, r.y): r["corr"] for r in stats.corr_matrix(df).collect()}
+    want = np.corrcoef(x.T)
+    for i, p in enumerate("abc"):
+        for j, o in enumerate("abc"):
+            assert got[p, o] == pytest.approx(want[i, j], abs=1e-6)
+    assert got["a", "k"] is None and len(got) == 16
+    assert stats.corr_matrix(df.limit(0)).where("corr is not null").count() == 0
+
+
 def test_moments_match_pandas(spark):
     v = [1.0, 2.0, 2.5, 7.0, 11.0, 3.0]
     got = stats.moments(frame(spark, [(x,) for x in v], "x double"), "x").first()
