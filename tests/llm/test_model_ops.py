@@ -88,6 +88,16 @@ def test_quality_on_labels(spark):
     assert (got.keep == ~bad).mean() > 0.97 and got.keep[~bad].mean() > 0.98 and got.keep[got.toxic == 1].mean() < 0.1
 
 
+def test_quality_held_out():
+    d = "/root/testdata/sf0.1"
+    rows = duckdb.execute(f"select text, quality, toxic from '{d}/documents.parquet' d join '{d}/labels.parquet' l using (doc_id) order by hash(doc_id)").fetchall()
+    faults = np.array([[q == 0, t == 1] for _, q, t in rows], float)
+    n, slots = len(rows) // 2, quality.Slots()
+    w, v = quality.train([r[0] for r in rows[:n]], faults[:n])
+    bad = np.array([quality.probability(quality.features(r[0], slots), w, v) for r in rows[n:]]) > 0.5
+    assert (bad == faults[n:].any(1)).mean() > 0.96 and bad[~faults[n:].any(1)].mean() < 0.02 and bad[faults[n:, 1] > 0].mean() > 0.85
+
+
 def test_site_posteriors(spark):
     rows = [(h, p, v) for h, p, n, v in (("a", "x", 60, 0.9), ("a", "y", 1, 0.1), ("b", "x", 200, 0.05), (None, None, 1, 0.5), ("c", "x", 1, 0.99)) for _ in range(n)]
     got = quality.add_sites(spark.createDataFrame(rows, "source string, lang string, p_doc double"), "source", "lang", 0.5).toPandas()
