@@ -40,23 +40,27 @@ def seeds(h: str, masks: list[str]) -> Column:
     return F.concat(*parts)
 
 
-def best_overlap(doc: str, item: str, shift: str) -> Column:
-    """Of the tokens item[i], doc[i + shift] the stretch with the highest matches - 4 x substitutions: (score, start, size, same).
+def best_overlap(doc: str, item: str, shift: str, least: Column) -> Column:
+    """Of the tokens item[i], doc[i + shift] the stretch of `least` tokens or more with the highest matches - 4 x substitutions: (score, at, size, same).
 
-    Every such stretch has at least 0.8 of its tokens equal.
+    The score is negative if no such stretch has at least 0.8 of its tokens equal. It is a difference of prefix
+    sums; `low` is the smallest prefix sum that lies at least `least` tokens behind.
     """
     lo, hi = F.greatest(F.lit(0), -F.col(shift)), F.least(F.size(item), F.size(doc) - F.col(shift))
-    zero = F.expr("named_struct('cur', 0, 'start', 0, 'hits', 0, 'score', 0, 'at', 0, 'size', 0, 'same', 0)")
+    zero = F.expr("named_struct('cur', 0, 'hits', 0, 'lag', 0, 'lag_hits', 0, 'low', 0, 'low_at', 0, 'low_hits', 0, 'score', -1, 'at', 0, 'size', 0, 'same', 0)")
+    hit = lambda i: F.when(F.col(item)[i] == F.col(doc)[i + F.col(shift)], 1).otherwise(0)
 
     def step(s: Column, i: Column) -> Column:
-        hit = F.when(F.col(item)[i] == F.col(doc)[i + F.col(shift)], 1).otherwise(0)
-        fresh = s.cur <= 0
-        cur = F.when(fresh, 0).otherwise(s.cur) + hit * 5 - 4
-        start = F.when(fresh, i).otherwise(s.start)
-        hits = F.when(fresh, 0).otherwise(s.hits) + hit
-        more = cur > s.score
+        start = i + 1 - least
+        cur, hits = s.cur + hit(i) * 5 - 4, s.hits + hit(i)
+        old = F.when(start > lo, hit(start - 1))  # null until a second start is possible
+        lag, lag_hits = s.lag + F.coalesce(old * 5 - 4, F.lit(0)), s.lag_hits + F.coalesce(old, F.lit(0))
+        fresh = (start == lo) | ((start > lo) & (lag <= s.low))
+        low, low_at, low_hits = F.when(fresh, lag).otherwise(s.low), F.when(fresh, start).otherwise(s.low_at), F.when(fresh, lag_hits).otherwise(s.low_hits)
+        more = (start >= lo) & (cur - low > s.score)
         keep = lambda new, old: F.when(more, new).otherwise(old)
-        return F.struct(cur.alias("cur"), start.alias("start"), hits.alias("hits"), keep(cur, s.score).alias("score"), keep(start, s["at"]).alias("at"), keep(i - start + 1, s["size"]).alias("size"), keep(hits, s.same).alias("same"))
+        best = [keep(cur - low, s.score).alias("score"), keep(low_at, s["at"]).alias("at"), keep(i + 1 - low_at, s["size"]).alias("size"), keep(hits - low_hits, s.same).alias("same")]
+        return F.struct(cur.alias("cur"), hits.alias("hits"), lag.alias("lag"), lag_hits.alias("lag_hits"), low.alias("low"), low_at.alias("low_at"), low_hits.alias("low_hits"), *best)
 
     return F.aggregate(F.when(hi > lo, F.sequence(lo, hi - 1)).otherwise(F.expr("cast(array() as array<int>)")), zero, step)
 
@@ -91,8 +95,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
     if n <= broadcast_seeds:
         small = F.broadcast(small)
     pairs = hits.join(bodies, "key").join(small, hits.item_id.eqNullSafe(small.item_id)).drop(small.item_id)
-    seen = pairs.select("key", "item_id", "shift", F.size("i").alias("n"), best_overlap("d", "i", "shift").alias("o"))
-    seen = seen.where(F.col("o.size") >= F.least(F.lit(min_tokens), F.col("n")))
+    seen = pairs.select("key", "item_id", "shift", best_overlap("d", "i", "shift", F.least(F.lit(min_tokens), F.size("i"))).alias("o")).where("o.score >= 0")
     best = F.max_by(F.struct((F.col("o.at") + F.col("shift")).alias("start"), F.col("o.size").alias("size"), F.col("o.same").alias("same")), F.struct("o.score", -F.col("shift")))
     return seen.groupBy("key", "item_id").agg(best.alias("b")).select("key", "item_id", "b.*")
 

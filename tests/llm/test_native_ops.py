@@ -112,6 +112,39 @@ def test_leaks(spark):
     assert decontaminate.clean(frame, bench.limit(0)).count() == len(docs)
 
 
+def longest_rule(d, i, least=13):
+    """Whether a stretch of `least` tokens, or a whole shorter item, is 0.8 equal on some diagonal."""
+    least = min(least, len(i))
+    for shift in range(-len(i) + 1, len(d)):
+        same = [d[k + shift] == i[k] for k in range(max(0, -shift), min(len(i), len(d) - shift))]
+        if any(5 * sum(same[a:z]) >= 4 * (z - a) for a in range(len(same)) for z in range(a + least, len(same) + 1)):
+            return True
+    return False
+
+
+def test_leaks_near_the_ends(spark):
+    """Substitutions near the ends, where the best-scoring stretch is shorter than the rule asks."""
+    word = lambda k, n: f"w{n}x{k}"
+    docs, items, want = [], [], set()
+    for n in range(13, 21):
+        item = [word(k, n) for k in range(n)]
+        items.append((n, " ".join(item)))
+        for subs in ([1], [n - 2], [1, n - 2] if n > 13 else [2], [0, 2]):
+            doc_id = len(docs)
+            d = ["a", "b", *["zz" if k in subs else w for k, w in enumerate(item)], "c"]
+            docs.append((doc_id, " ".join(d)))
+            if longest_rule(d, item):
+                want.add((doc_id, n))
+    assert len(want) == len(docs)
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    rows = decontaminate.leaks(frame, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == want
+    for r in rows:
+        d, i = docs[r.doc_id][1].split(), dict(items)[r.item_id].split()
+        assert r["size"] >= 13 and r.same >= 0.8 * r["size"]
+        assert r.same == sum(x in i for x in d[r.start : r.start + r["size"]])
+
+
 # --- chat formatting
 
 
