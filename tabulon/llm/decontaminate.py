@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import url_filter
 from .common import cut
 
-#: Fixed seed masks: positions marked 0 are ignored, so a substitution there does not hide a hit.
-MASKS = ("1101100111", "1110011011")
-SPAN = 10
+#: Fixed seed masks: positions marked 0 are ignored, so a substitution there does not hide a hit. One of MASKS fits
+#: every stretch of 13 tokens or more that is 0.8 equal, one of SHORT[n] every item of n tokens that is.
+MASKS = ("110111", "11111")
+SHORT = {5: ("1111", "11101", "11011", "10111"), 6: ("1111", "11011"), 7: ("11011",), 8: MASKS, 9: ("110111",), 10: ("110111", "11100011", "1101011"), 11: ("1101011", "1110011"), 12: MASKS}
+ENOUGH = 13
+
+
+def masks_of(n: int) -> tuple[str, ...]:
+    """Masks for the items of n tokens; shorter ones than any in SHORT must be equal."""
+    return MASKS if n >= ENOUGH else SHORT.get(n, ("1" * n,))
 
 
 def token_hashes(text: str | Column) -> Column:
@@ -69,16 +78,21 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
     """(key, item_id, start, size, same) for each text and benchmark item that overlap.
 
     An overlap has min_tokens tokens, or all tokens of a shorter item, of which at least 0.8 are equal,
-    in order and without gaps; it holds a hit of a mask of SPAN tokens, or for items under SPAN tokens the item itself. All positions of all
+    in order and without gaps; with min_tokens of ENOUGH or more each of them holds a hit of a mask, by enumeration. All positions of all
     texts are hashed. start and size count tokens of the document; the best overlap of each pair is given.
     The benchmark's seeds are broadcast up to broadcast_seeds; beyond that a blocked Bloom filter of
     bounded size thins the documents' seeds before a shuffled join. Items that are null, blank, or repeated
     under one id are harmless; repeated texts are worked on once.
     """
     items = benchmark.select(F.col(item_id).alias("item_id"), token_hashes(F.col(item_text)).alias("i")).where(F.size("i") > 0)
-    short = [r[0] for r in items.where(F.size("i") < SPAN).select(F.size("i")).distinct().collect()]  # at most SPAN - 1
-    masks = [*MASKS, *("1" * n for n in sorted(short))]
-    wanted = items.select("item_id", F.size("i").alias("n"), F.explode(seeds("i", masks)).alias("x")).where(F.when(F.col("n") < SPAN, F.col("x.p") == 0).otherwise(True))
+    sizes = [r[0] for r in items.select(F.least(F.size("i"), F.lit(ENOUGH))).distinct().collect()]  # at most ENOUGH
+    fits: dict[str, list[int]] = {}
+    for size in sorted(sizes) or [ENOUGH]:
+        for mask in masks_of(size):
+            fits.setdefault(mask, []).append(size)
+    masks = [*fits]
+    of_mask = [items.where(F.least(F.size("i"), F.lit(ENOUGH)).isin(n)).select("item_id", F.explode(seeds("i", [m])).alias("x")) for m, n in fits.items()]
+    wanted = reduce(DataFrame.union, of_mask)
     wanted = wanted.select("item_id", F.col("x.p").alias("ip"), F.col("x.s").alias("s")).distinct()
     n = wanted.count()
     texts = docs.select(F.col(text).alias("__t")).select(content_key("__t").alias("key"), "__t")

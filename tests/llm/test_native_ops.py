@@ -1,6 +1,7 @@
 """URL filter, decontamination, chat formatting and mixing: cases, brute force and SQL."""
 
 import hashlib
+import itertools
 import math
 import random
 from collections import Counter
@@ -122,6 +123,35 @@ def longest_rule(d, i, least=13):
     return False
 
 
+def test_masks_hit_every_overlap():
+    """Stretches of 26 tokens or more split into two of 13 or more, of which one is 0.8 equal."""
+    for n in range(1, 26):
+        masks = decontaminate.masks_of(n)
+        fits = [sum(1 << (p + o) for o, c in enumerate(m) if c == "1") for m in masks for p in range(n - len(m) + 1)]
+        for subs in itertools.combinations(range(n), n // 5):
+            bad = sum(1 << k for k in subs)
+            assert any(not f & bad for f in fits), (n, subs)
+
+
+def test_leaks_with_substitutions_anywhere(spark):
+    """Items of all small sizes, with as many substitutions as the rule allows, and one more."""
+    rnd = random.Random(12)
+    docs, items, want = [], [], set()
+    for n in [*range(1, 21), 25, 40]:
+        item = [f"w{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(item)))
+        places = [sorted(rnd.sample(range(n), min(n, n // 5 + more))) for more in (0, 0, 0, 0, 1)] + [list(range(4, n, 5))]
+        for subs in places:
+            d = ["a", "b", *["zz" if k in subs else w for k, w in enumerate(item)], "c"]
+            docs.append((len(docs), " ".join(d)))
+            if longest_rule(d, item):
+                want.add((len(docs) - 1, n))
+    assert len(docs) / 2 < len(want) < len(docs)
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for how in ({}, {"broadcast_seeds": 0}):
+        assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame, bench, **how).collect()} == want
+
+
 def test_leaks_near_the_ends(spark):
     """Substitutions near the ends, where the best-scoring stretch is shorter than the rule asks."""
     word = lambda k, n: f"w{n}x{k}"
