@@ -209,6 +209,21 @@ def test_passage_behind_a_common_line(spark):
     assert later == {200 + 10 * k + j for k in range(5) for j in range(1, 4)}
 
 
+def test_second_passage_of_a_known_pair(spark):
+    """Pairs of texts share a passage, and at another offset 59 words of which 49 stand in a text before them."""
+    rnd = random.Random(21)
+    rows = []
+    for k in range(40):
+        line, tail, passage = words(rnd, 49), words(rnd, 10), words(rnd, 70)
+        rows.append((k, " ".join(words(rnd, 60) + line + words(rnd, 60))))
+        for j, gap in enumerate((20, 45)):
+            rows.append((100 + 2 * k + j, " ".join(words(rnd, 15) + passage + words(rnd, gap) + line + tail + words(rnd, 30))))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sub.remove_repeats(frame).collect()
+    assert len(out) == len(rows)
+    assert max(run_counts([r.text for r in out]).values()) == 1
+
+
 # --- embeddings
 
 
