@@ -224,6 +224,19 @@ def test_second_passage_of_a_known_pair(spark):
     assert max(run_counts([r.text for r in out]).values()) == 1
 
 
+def test_passage_beyond_an_explained_text(spark):
+    """A has P + R, B has P + R + Q, C has R + Q: B is explained by A, yet B and C share R + Q."""
+    rnd = random.Random(22)
+    rows = []
+    for k in range(60):
+        p, r, q = words(rnd, 30), words(rnd, 49), words(rnd, 12)
+        for j, body in enumerate((p + r, p + r + q, r + q)):
+            rows.append((3 * k + j, " ".join(words(rnd, 40) + body + words(rnd, 40))))
+    spans = sub.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    later = {r.doc_id for r in spans if r.role == "later"}
+    assert later == {i for i, _ in rows if i % 3}
+
+
 # --- embeddings
 
 
