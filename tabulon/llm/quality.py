@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, pieces
 from .decontaminate import content_key
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -81,12 +81,10 @@ def fit(at: np.ndarray, row: np.ndarray, dn: np.ndarray, bad: np.ndarray, rounds
     return w, v
 
 
-def train(texts: list[str | None], targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def train(made: list[tuple[np.ndarray, list[float]]], targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A regression for each column of targets: slot weights (SLOTS x heads) and dense weights (DENSE x heads)."""
-    slots = Slots()
-    made = [features(t, slots) for t in texts]
-    at = np.concatenate([m[0] for m in made]) if made else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(made)), [len(m[0]) for m in made])
+    at = np.concatenate([np.asarray(m[0], np.int32) for m in made]) if made else np.zeros(0, np.int32)
+    row = np.repeat(np.arange(len(made), dtype=np.int32), [len(m[0]) for m in made])
     dn = np.array([m[1] for m in made]).reshape(-1, DENSE)
     heads = [fit(at, row, dn, targets[:, i]) for i in range(targets.shape[1])]
     return np.stack([h[0] for h in heads], 1), np.stack([h[1] for h in heads], 1)
@@ -98,8 +96,12 @@ def probability(x: tuple[np.ndarray, list[float]], w: np.ndarray, v: np.ndarray)
     return float(1 - np.prod(1 / (1 + np.exp(z))))
 
 
-def sample_labels(docs: DataFrame, labels: DataFrame, faults: tuple[str, ...], doc_id: str, text: str, rows: int, chars: int) -> tuple[list, np.ndarray]:
-    """At most `rows` labelled texts without a fault and as many with each, the first by a hash of the id."""
+def fitted(docs: DataFrame, labels: DataFrame, faults: tuple[str, ...], doc_id: str, text: str, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights learned from at most `rows` labelled texts without a fault and as many with each, the first by a hash of the id.
+
+    Features of the whole texts are made where the texts are; one task gets the bounded sample of them and
+    fits. Only the weights come to the driver: (SLOTS + DENSE) x faults numbers.
+    """
     known = [F.max(F.coalesce(F.expr(x), F.lit(False)).cast("int")).alias(f"__f{i}") for i, x in enumerate(faults)]
     marked = labels.where(F.col(doc_id).isNotNull()).groupBy(doc_id).agg(*known).withColumn("__h", F.xxhash64(doc_id))
     cols = [f"__f{i}" for i in range(len(faults))]
@@ -107,19 +109,38 @@ def sample_labels(docs: DataFrame, labels: DataFrame, faults: tuple[str, ...], d
     for c in cols:
         picked = picked.union(marked.where(f"{c} = 1").orderBy("__h").limit(rows))
     picked = F.broadcast(picked.distinct())  # at most (1 + faults) x rows
-    got = docs.select(doc_id, F.substring(text, 1, chars).alias("__t")).join(picked, doc_id).select("__t", *cols, "__h").orderBy("__h", "__t").limit((1 + len(faults)) * rows).collect()
-    return [r[0] for r in got], np.array([r[1:-1] for r in got], float).reshape(-1, len(faults))
+    got = docs.select(doc_id, F.col(text).alias("__t")).join(picked, doc_id).select("__h", F.xxhash64("__t").alias("__g"), F.array(*cols).alias("__y"), "__t")
+
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = Slots()
+        for b in pieces(batches, "__t"):
+            x = [features(t.as_py(), slots) for t in b.column("__t")]
+            own = [pa.array([m[0] for m in x], pa.list_(pa.int32())), pa.array([m[1] for m in x], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([b.column("__h"), b.column("__g"), b.column("__y"), *own], names=["h", "g", "y", "at", "dn"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, y = [], []
+        for b in batches:
+            made += zip((x.values.to_numpy() for x in b.column("at")), b.column("dn").to_pylist(), strict=True)
+            y += b.column("y").to_pylist()
+        w, v = train(made, np.array(y, float).reshape(-1, len(faults)))
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (w, v)], names=["w", "v"])
+
+    sample = got.mapInArrow(featured, "h long, g long, y array<int>, at array<int>, dn array<double>").orderBy("h", "g").limit((1 + len(faults)) * rows)
+    w, v = sample.mapInArrow(learn, "w binary, v binary").first()  # a limited sample is one partition
+    return np.frombuffer(w).reshape(SLOTS, -1), np.frombuffer(v).reshape(DENSE, -1)
 
 
-def judge(docs: DataFrame, labels: DataFrame, faults: tuple[str, ...] = ("quality = 0", "toxic = 1"), doc_id: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang", threshold: float = 0.5, sample_rows: int = 2500, sample_chars: int = 20_000) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, faults: tuple[str, ...] = ("quality = 0", "toxic = 1"), doc_id: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang", threshold: float = 0.5, sample_rows: int = 2500) -> DataFrame:
     """All rows and columns of docs but the text, plus p_doc, p_host, p_path, p_bad, keep.
 
     A linear classifier with a head for each fault is fitted on a bounded sample of labelled documents
-    (sample_rows without a fault and as many with each, sample_chars of each) and judges every whole
+    (sample_rows without a fault and as many with each, whole texts) and judges every whole
     text: p_doc, that it has any fault. Its probabilities are summed by host and by path of a
     host over all documents. Beta priors shrink them: a host's posterior mean lies between its own mean and
     the corpus's, a path's between its own and its host's, each with a prior strength fitted by moments, so
-    that sparse sites take their parent's. p_bad replaces the corpus's odds by the path's in
+    that sparse sites take their parent's. p_host and p_path are of the other documents of the site: the
+    document's own evidence counts once, in p_doc. p_bad replaces the corpus's odds by the path's in
     the document's. keep: p_bad < threshold. The scores, without texts, are written to the shared
     folder, so each text is judged once.
 
@@ -127,8 +148,7 @@ def judge(docs: DataFrame, labels: DataFrame, faults: tuple[str, ...] = ("qualit
     repeated (the worse counts) or without a document are harmless; without labels of both classes all
     documents get the same p_doc. Repeated documents stay, each weighs in its site.
     """
-    texts, y = sample_labels(docs, labels, faults, doc_id, text, sample_rows, sample_chars)
-    sent = docs.sparkSession.sparkContext.broadcast(train(texts, y))
+    sent = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, faults, doc_id, text, sample_rows))
     made = ("p_doc", "p_host", "p_path", "p_bad", "keep")
     names = [c for c in docs.columns if c not in (*made, text)]
     schema = T.StructType([*docs.select(names).schema.fields, T.StructField("p_doc", T.DoubleType())])
@@ -163,18 +183,20 @@ def strength(mean: float, between: float) -> float:
 
 def add_sites(scored: DataFrame, host: str, path: str, threshold: float) -> DataFrame:
     """scored(p_doc) plus p_host, p_path, p_bad, keep; see judge()."""
-    site = scored.groupBy(F.col(host).alias("__h"), F.col(path).alias("__p")).agg(F.count("*").alias("n"), F.sum("p_doc").alias("s"))
+    site = scored.groupBy(F.col(host).alias("__h"), F.col(path).alias("__p")).agg(F.count("*").alias("__n"), F.sum("p_doc").alias("__s"))
     site = cut(site)  # one row a path
-    hosts = site.groupBy("__h").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
+    hosts = site.groupBy("__h").agg(F.sum("__n").alias("__hn"), F.sum("__s").alias("__hs"))
     moments = lambda d, n, s: d.agg(F.sum(n).alias("n"), F.sum(s).alias("s"), (F.sum(F.expr(f"{s} * {s} / {n}")) / F.sum(n)).alias("q"), F.count("*").alias("k")).first()
-    m, mp = moments(hosts, "hn", "hs"), moments(site, "n", "s")
+    m, mp = moments(hosts, "__hn", "__hs"), moments(site, "__n", "__s")
     mean = m.s / m.n if m.n else 0.0
     a = strength(mean, (m.q or 0) - mean * mean)
     b = strength(mean, max(0.0, (mp.q or 0) - (m.q or 0)))
-    hosts = hosts.withColumn("p_host", (F.col("hs") + F.lit(a * mean)) / (F.col("hn") + F.lit(a)))
-    site = site.alias("s").join(hosts.alias("h"), F.col("s.__h").eqNullSafe(F.col("h.__h"))).select("s.__h", "s.__p", "p_host", ((F.col("s") + F.lit(b) * F.col("p_host")) / (F.col("n") + F.lit(b))).alias("p_path"))
+    sums = site.join(hosts.withColumnRenamed("__h", "__h2"), F.col("__h").eqNullSafe(F.col("__h2"))).drop("__h2")
+    own = F.col("p_doc")
+    others = lambda s, n, prior, k: (F.greatest(F.lit(0.0), F.col(s) - own) + F.lit(k) * prior) / (F.col(n) - 1 + F.lit(k))
+    out = scored.join(sums, F.col(host).eqNullSafe(F.col("__h")) & F.col(path).eqNullSafe(F.col("__p")))
+    out = out.withColumn("p_host", others("__hs", "__hn", F.lit(mean), a)).withColumn("p_path", others("__s", "__n", F.col("p_host"), b))
     logit = lambda p: F.log(F.greatest(F.lit(1e-6), p) / F.greatest(F.lit(1e-6), 1 - p))
-    z = logit(F.col("p_doc")) + logit(F.col("p_path")) - F.lit(math.log(max(mean, 1e-6) / max(1 - mean, 1e-6)))
-    out = scored.join(site, F.col(host).eqNullSafe(F.col("__h")) & F.col(path).eqNullSafe(F.col("__p"))).drop("__h", "__p")
+    z = logit(own) + logit(F.col("p_path")) - F.lit(math.log(max(mean, 1e-6) / max(1 - mean, 1e-6)))
     p = 1 / (1 + F.exp(-z))
-    return out.withColumn("p_bad", p).withColumn("keep", F.col("p_bad") < threshold)
+    return out.drop("__h", "__p", "__n", "__s", "__hn", "__hs").withColumn("p_bad", p).withColumn("keep", F.col("p_bad") < threshold)

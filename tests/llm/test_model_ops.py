@@ -1,5 +1,6 @@
 """Quality, language identification, token counts: cases, exact library counts and held-out accuracy."""
 
+import math
 import random
 
 import duckdb
@@ -93,22 +94,47 @@ def test_quality_held_out():
     rows = duckdb.execute(f"select text, quality, toxic from '{d}/documents.parquet' d join '{d}/labels.parquet' l using (doc_id) order by hash(doc_id)").fetchall()
     faults = np.array([[q == 0, t == 1] for _, q, t in rows], float)
     n, slots = len(rows) // 2, quality.Slots()
-    w, v = quality.train([r[0] for r in rows[:n]], faults[:n])
+    w, v = quality.train([quality.features(r[0], slots) for r in rows[:n]], faults[:n])
     bad = np.array([quality.probability(quality.features(r[0], slots), w, v) for r in rows[n:]]) > 0.5
     assert (bad == faults[n:].any(1)).mean() > 0.96 and bad[~faults[n:].any(1)].mean() < 0.02 and bad[faults[n:, 1] > 0].mean() > 0.85
 
 
+def shrunk(rows):
+    """p_host, p_path, p_bad of each (host, path, p) by plain sums over the other rows."""
+    def group(key):
+        out = {}
+        for r in rows:
+            out.setdefault(key(r), []).append(r[2])
+        return out
+
+    host, path, mean = group(lambda r: r[0]), group(lambda r: r[:2]), sum(r[2] for r in rows) / len(rows)
+    spread = lambda g: sum(len(v) * (sum(v) / len(v) - mean) ** 2 for v in g.values()) / len(rows)
+    prior = lambda var: 1000.0 if var <= 1e-15 else min(1000.0, max(1.0, mean * (1 - mean) / var - 1))
+    a, b = prior(spread(host)), prior(spread(path) - spread(host))
+    odds = lambda p: p / (1 - p)
+    out = []
+    for h, p, x in rows:
+        ph = (sum(host[h]) - x + a * mean) / (len(host[h]) - 1 + a)
+        pp = (sum(path[h, p]) - x + b * ph) / (len(path[h, p]) - 1 + b)
+        o = odds(x) * odds(pp) / odds(mean)
+        out.append((h, p, round(x, 9), round(ph, 9), round(pp, 9), round(o / (1 + o), 9)))
+    return out
+
+
 def test_site_posteriors(spark):
-    rows = [(h, p, v) for h, p, n, v in (("a", "x", 60, 0.9), ("a", "y", 1, 0.1), ("b", "x", 200, 0.05), (None, None, 1, 0.5), ("c", "x", 1, 0.99)) for _ in range(n)]
-    got = quality.add_sites(spark.createDataFrame(rows, "source string, lang string, p_doc double"), "source", "lang", 0.5).toPandas()
-    assert len(got) == len(rows)
-    mean = np.mean([r[2] for r in rows])
-    a, c = got[got.source == "a"], got[got.source == "c"].iloc[0]
-    assert mean < a.p_host.iloc[0] < 0.9 and mean < c.p_host < 0.99
-    sparse = a[a.lang == "y"].iloc[0]
-    assert 0.1 < sparse.p_path < sparse.p_host  # between its own mean and its host's
-    full = got[(got.source == "b")].iloc[0]
-    assert abs(full.p_path - 0.05) < abs(mean - 0.05)
+    rnd = random.Random(3)
+    sites = [("a", "x", 60, 0.9), ("a", "y", 1, 0.1), ("b", "x", 200, 0.05), (None, None, 1, 0.5), ("c", "x", 1, 0.99), ("d", "x", 3, 0.4), ("d", "y", 30, 0.2)]
+    rows = [(h, p, min(0.999, max(0.001, v + rnd.uniform(-0.05, 0.05)))) for h, p, n, v in sites for _ in range(n)]
+    scored = spark.createDataFrame(rows, "source string, lang string, p_doc double").withColumns({"n": F.lit("kept"), "s": F.lit(7)})
+    got = quality.add_sites(scored, "source", "lang", 0.5).toPandas()
+    assert (got.n == "kept").all() and (got.s == 7).all() and (got.keep == (got.p_bad < 0.5)).all()
+    key = lambda r: tuple(str(x) for x in r)
+    have = [(r.source, r.lang, round(r.p_doc, 9), round(r.p_host, 9), round(r.p_path, 9), round(r.p_bad, 9)) for r in got.itertuples()]
+    clean = lambda rs: sorted([tuple(None if isinstance(x, float) and math.isnan(x) else x for x in r) for r in rs], key=key)
+    for x, y in zip(clean(have), clean(shrunk(rows)), strict=True):
+        assert x[:2] == y[:2] and x[2:] == pytest.approx(y[2:], abs=2e-7)
+    lone = got[got.source == "c"].iloc[0]  # a site of one row is judged by the corpus, not by itself
+    assert lone.p_path == pytest.approx(np.mean([r[2] for r in rows]), abs=1e-9)
 
 
 def test_quality_odd_rows(spark):
