@@ -19,7 +19,10 @@ from pyspark.sql import functions as F
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
+#: An odd base of polynomial hashes, the words hashed at once, and the bytes of a word from which xxhash takes it.
+BASE, CHUNK, HUGE = 0x9FB21C651E98DF25, 1 << 15, 1 << 12
 _WORD = re.compile(r"\w+")
+_powers = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -96,27 +99,66 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class WordHashes(dict):
-    """Word to 64-bit hash; forgets everything at `limit` words, so memory is bounded."""
-
-    def __init__(self, limit: int = 400_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+def plain(text: str | None) -> str:
+    """Runs of letters, digits and underscores of the text as it is, each lower-cased, one a line."""
+    return "\n".join(_WORD.findall(text)).lower() if text else ""
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-cased runs of letters, digits and underscores."""
-    return _WORD.findall(text.lower()) if text else []
-
-
-def hashes_of(words: list[str], cache: WordHashes) -> np.ndarray:
-    return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+    """The words of plain(), as many as word_spans gives."""
+    found = plain(text)
+    return found.split("\n") if found else []
+
+
+def word_spans(text: str) -> list[tuple[int, int]]:
+    """Where the words of words_of stand in the text."""
+    return [m.span() for m in _WORD.finditer(text)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse modulo 2**64, n of each."""
+    if len(_powers[0]) < n:
+        for i, b in enumerate((BASE, pow(BASE, -1, 1 << 64))):
+            steps = np.full(max(n, 4096), b, np.uint64)
+            steps[0] = 1
+            _powers[i] = np.multiply.accumulate(steps)
+    return _powers[0][:n], _powers[1][:n]
+
+
+def run_hashes(x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of x[start:end]: a polynomial in the values, from prefix sums."""
+    up, down = powers(len(x) + 1)
+    total = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum(x * up[:-1], out=total[1:])
+    return mix64((total[ends] - total[starts]) * down[starts])
+
+
+def word_hashes(plains: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of plain() texts, one text after the other; and how many each has."""
+    sizes = np.fromiter((p.count("\n") + 1 if p else 0 for p in plains), np.int64, len(plains))
+    raw = np.frombuffer("\n".join(filter(None, plains)).encode(), np.uint8)
+    out = np.zeros(sizes.sum(), np.uint64)
+    if not len(out):
+        return out, sizes
+    bounds = lambda: (lambda ends: (np.r_[0, ends[:-1] + 1], ends))(np.r_[np.flatnonzero(raw == 10), len(raw)])
+    starts, ends = bounds()
+    huge = {i: xxhash.xxh64_intdigest(raw[starts[i] : ends[i]].tobytes()) for i in np.flatnonzero(ends - starts > HUGE).tolist()}
+    if huge:  # their bytes would need as many powers
+        keep = np.ones(len(raw), bool)
+        for i in huge:
+            keep[starts[i] : ends[i]] = False
+        raw = raw[keep]
+        starts, ends = bounds()
+    for i in range(0, len(out), CHUNK):
+        a, z = starts[i : i + CHUNK], ends[i : i + CHUNK]
+        out[i : i + CHUNK] = run_hashes(raw[a[0] : z[-1]] + np.uint64(1), a - a[0], z - a[0])
+    for i, h in huge.items():
+        out[i] = h
+    return out, sizes
+
+
+def hashes_of(text: str | None) -> np.ndarray:
+    return word_hashes([plain(text)])[0]
 
 
 def shingles_of(h: np.ndarray, k: int = SHINGLE_WORDS) -> np.ndarray:

@@ -9,11 +9,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SIMILARITY, WordHashes, arrow_rows, components, cut, hashes_of, mix64, pieces, shingles_of, words_of
+from .common import SIMILARITY, arrow_rows, components, cut, mix64, pieces, plain, shingles_of, word_hashes
 from .decontaminate import content_key
 
 SKETCHES, KMERS = 16, 3
@@ -39,16 +39,17 @@ def labelled(s: np.ndarray) -> np.ndarray:
 def order_min_hash(s: np.ndarray, sketches: int = SKETCHES, kmers: int = KMERS) -> np.ndarray:
     """For each seed the kmers least labelled shingles, hashed in their order in the text."""
     k, out = min(kmers, len(s)), np.empty(sketches, np.uint64)
-    for i in range(sketches):
-        v = (s ^ _SEEDS[i]) * np.uint64(0xD6E8FEB86659FD93)
+    at_once = max(1, (1 << 18) // max(1, len(s)))  # so that a long text takes no more memory for its sketches
+    for i in range(0, sketches, at_once):
+        h = _SEEDS[i : min(sketches, i + at_once)].copy()
+        v = (s[None, :] ^ h[:, None]) * np.uint64(0xD6E8FEB86659FD93)
         v ^= v >> np.uint64(32)
         v *= np.uint64(0xD6E8FEB86659FD93)
-        least = np.sort(np.argpartition(v, k - 1)[:k]) if k < len(s) else np.arange(k)
-        h = _SEEDS[i]
-        for x in s[least].tolist():
-            h = ((int(h) ^ x) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
-            h ^= h >> 31
-        out[i] = h
+        least = np.sort(np.argpartition(v, k - 1, axis=1)[:, :k], axis=1) if k < len(s) else np.tile(np.arange(k), (len(h), 1))
+        for x in s[least].T:
+            h = (h ^ x) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(31)
+        out[i : i + at_once] = h
     return out
 
 
@@ -91,30 +92,25 @@ def similarity(a: Kmers, b: Kmers, least: float = SIMILARITY) -> float:
 
 
 def _hashes(words: bytes) -> np.ndarray:
-    return mix64(np.frombuffer(words, np.uint32).astype(np.uint64))
+    return np.frombuffer(words, np.uint64)
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cache = WordHashes()
-    for b in pieces(batches, "text"):
-        keys, sketches = [], []
-        for t in b.column("text"):
-            h = (hashes_of(words_of(t.as_py()), cache) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            if not len(h):
-                keys.append(None)
-                sketches.append(None)
-                continue
-            raw = h.tobytes()
-            keys.append(xxhash.xxh128_digest(raw))
-            sketches.append(order_min_hash(labelled(shingles_of(_hashes(raw)))).view(np.int64))
+    for b in pieces(batches, "text", 1 << 20):
+        plains = [plain(t.as_py()) for t in b.column("text")]
+        h, sizes = word_hashes(plains)
+        each = np.split(h, np.cumsum(sizes)[:-1])
+        keys = [xxhash.xxh128_digest(p) if p else None for p in plains]
+        sketches = [order_min_hash(labelled(shingles_of(x))).view(np.int64) if len(x) else None for x in each]
         yield pa.RecordBatch.from_arrays([b.column("id"), b.column("ck"), pa.array(keys, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))], names=["id", "ck", "key", "sketches"])
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cache = WordHashes()
-    for b in pieces(batches, "text"):
-        raw = [(hashes_of(words_of(t.as_py()), cache) & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() for t in b.column("text")]
-        yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh128_digest(r) for r in raw], pa.binary()), pa.array(raw, pa.binary())], names=["key", "words"])
+    for b in pieces(batches, "text", 1 << 20):
+        plains = [plain(t.as_py()) for t in b.column("text")]
+        h, sizes = word_hashes(plains)
+        raw = [x.tobytes() for x in np.split(h, np.cumsum(sizes)[:-1])]
+        yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh128_digest(p) for p in plains], pa.binary()), pa.array(raw, pa.binary())], names=["key", "words"])
 
 
 def _verify(least: float):
@@ -164,7 +160,7 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: f
     Texts without words and rows with a null id link with nothing and have their own id.
 
     Copies are one class each. Classes that share one of the order MinHash sketches are candidates. In
-    a first round all classes of a sketch are compared with its HUBS most central ones only. Sketches that still hold
+    a first round all classes of a sketch are compared with the most central ones of its HUBS parts only. Sketches that still hold
     classes of several components are then compared in full: every class outside the first hub's
     component against all classes of the sketch, in blocks of FEW by MANY, so no group is gathered in one task.
     """
@@ -177,8 +173,9 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: f
     sizes = cut(spread.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1"))
     shared = cut(spread.join(sizes, "sig"))
     central = shared.groupBy("key").agg(F.sum("size").alias("met"))  # the more others meet it, the nearer it is to all
-    ranked = shared.join(central, "key").withColumn("place", F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("met"), "key")))
-    hubs = cut(ranked.where(F.col("place") <= HUBS).select("sig", F.col("key").alias("hub"), "place"))
+    part = F.pmod(F.hash("key"), F.lit(HUBS)).alias("part")
+    best = shared.join(central, "key").groupBy("sig", part).agg(F.max(F.struct("met", "key")).alias("b"))  # a maximum is partly made before the shuffle
+    hubs = cut(best.select("sig", F.col("b.key").alias("hub"), F.col("b.met").alias("met")))
     pairs = cut(shared.join(hubs, "sig").where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct())
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
     texts = classes.select("key", F.col("first.ck").alias("ck")).join(wanted, "key", "left_semi").select("ck")
@@ -188,8 +185,8 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: f
         links = cut(by_hub.select("a", "b", "words", "hub_words").mapInArrow(_verify(least), "a binary, b binary"))
     comps = cut(components(links))
 
-    main = hubs.where("place = 1").select("sig", "hub")
-    left = shared.where(f"size > {HUBS + 1}").join(main, "sig").join(comps, F.col("key") == F.col("node"), "left").select("sig", "key", "hub", "size", F.coalesce("component", "key").alias("comp"))
+    main = hubs.groupBy("sig").agg(F.max(F.struct("met", "hub")).alias("m"), F.count("*").alias("heads")).select("sig", "m.hub", "heads")
+    left = shared.join(main, "sig").where("size > heads + 1").join(comps, F.col("key") == F.col("node"), "left").select("sig", "key", "hub", "size", F.coalesce("component", "key").alias("comp"))
     open_ = left.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.when(F.col("key") == F.col("hub"), F.col("comp"))).alias("main")).where("lo <> hi")
     rest = cut(left.join(open_.select("sig", "main"), "sig").select("sig", "key", "comp", "size", "main"))
     loose = rest.where("comp <> main").groupBy("sig").agg((F.ceil(F.count("*") / FEW)).cast("int").alias("blocks"))

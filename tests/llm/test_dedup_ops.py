@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tabulon.llm import embedding_dedup as emb
 from tabulon.llm import near_dedup as near
 from tabulon.llm import substring_dedup as sub
-from tabulon.llm.common import WordHashes, components, hashes_of, shingles_of, words_of
+from tabulon.llm.common import HUGE, components, hashes_of, plain, run_hashes, shingles_of, word_hashes, word_spans, words_of
 
 
 def words(rnd, n, names="abcdefghij"):
@@ -53,8 +53,7 @@ def test_components(spark, seed):
 
 
 def kmers(text):
-    c = WordHashes()
-    return near.Kmers(near._hashes((hashes_of(words_of(text), c) & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes()))
+    return near.Kmers(hashes_of(text))
 
 
 def lcs_similarity(a, b):
@@ -137,29 +136,110 @@ def test_near_odd_rows(spark):
 # --- repeated passages
 
 
-def test_compact_windows_cover_every_run():
+@pytest.mark.parametrize("values", [1 << 60, 6, 1])
+def test_compact_windows_cover_every_run(values):
+    """Of random values, of values with many ties, and of equal ones."""
     rnd = np.random.default_rng(1)
-    v = rnd.integers(0, 1 << 60, 200).astype(np.uint64)
-    windows = sub.compact_windows(v, 20)
-    for a in range(0, 180, 7):
-        for z in range(a + 20, 201, 13):
-            c = a + int(v[a:z].argmin())
-            assert sum(left <= a and z <= right and m == c for left, m, right in windows) == 1
-
-
-def test_run_hashes():
+    v = rnd.integers(0, values, 460).astype(np.uint64)
+    left, right = np.array([0, 200, 215, 300]), np.array([200, 215, 300, 460])
+    l, c, r = sub.compact_windows(v, left, right, 20)
+    windows = list(zip(l.tolist(), c.tolist(), r.tolist(), strict=True))
+    for begin, end in zip(left.tolist(), right.tolist(), strict=True):
+        for a in range(begin, end - 19, 7):
+            for z in range(a + 20, end + 1, 13):
+                low = a + int(v[a:z].argmin())
+                assert sum(x <= a and z <= y and m == low for x, m, y in windows) == 1
+
+
+def test_cells_are_all_passages():
+    """Every passage of WIDTH shingles lies in one cell of each two functions, whose key says what their minima are."""
     rnd = np.random.default_rng(2)
-    h = rnd.integers(0, 1 << 63, 300).astype(np.uint64)
-    h[200:260] = h[20:80]
-    got = sub.runs_at(h, np.arange(276), 25)
+    sizes = np.array([180, 50, 400, 61])
+    h = rnd.integers(0, 1 << 63, sizes.sum()).astype(np.uint64)
+    h[300:420] = h[20:140]  # a passage of the first text in the third
+    text, key, at = sub.window_keys(h, sizes)
+    seen = Counter()
+    shared = defaultdict(set)
+    for pair, (t, k, c, c2, owner, more) in enumerate(sub.cells(text, key, at)):
+        assert len(set(zip(t.tolist(), k.tolist(), c.tolist(), c2.tolist(), strict=True))) == len(k)
+        for i in range(len(k)):
+            seen[pair] += 1
+            shared[int(k[i])].add((int(t[i]), int(c[i]), int(c2[i])))
+            assert len(more[owner == i]) >= 2  # a window of both other functions holds each passage
+    assert len(seen) == 6
+    for begin in range(20, 140 - 49, 6):  # each passage of 50 shared words has its six cells in both texts
+        s = shingles_of(h[begin : begin + 50])
+        low = [int(np.argmin(sub.mix64(s ^ sub._SEEDS[f]))) + begin for f in range(4)]
+        other = [x - 20 + 300 - 230 for x in low]
+        for i in range(4):
+            for j in range(i + 1, 4):
+                assert any({(0, low[i], low[j]), (2, other[i], other[j])} <= v for v in shared.values())
+
+
+def test_word_hashes():
+    texts = ["One two, two", "", None, "İstanbul straße é Ǆ x_1 ΑΣ", "a" * (HUGE + 9) + " b " + "a" * (HUGE + 9), "two"]
+    h, n = word_hashes([plain(t) for t in texts])
+    assert n.tolist() == [len(words_of(t)) for t in texts] == [3, 0, 0, 6, 3, 1] and all(len(word_spans(t or "")) == k for t, k in zip(texts, n, strict=True))
+    by = defaultdict(set)
+    for w, x in zip([w for t in texts for w in words_of(t)], h.tolist(), strict=True):
+        by[w].add(x)
+    assert all(len(v) == 1 for v in by.values()) and len(set.union(*by.values())) == len(by)
+    x = np.random.default_rng(2).integers(0, 1 << 63, 300).astype(np.uint64)
+    x[200:260] = x[20:80]
+    got = run_hashes(x, np.arange(276), np.arange(276) + 25)
     assert (got[200:236] == got[20:56]).all() and len(set(got.tolist())) == 276 - 36
-    assert (sub.runs_at(h[20:80], np.arange(36), 25) == got[20:56]).all()
+
+
+def alike(a, b):
+    """Share of common shingles of two word lists, by plain sets."""
+    x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_recall_of_edited_passages(spark):
+    """Passages of 50 to 60 words with one word changed or put in, that begin and end alike, at 0.8 or more: 0.9 and more are found."""
+    rnd = random.Random(31)
+    line, rows, kinds = words(rnd, 30), [], {}
+    for k in range(360):
+        n, kind = (50, 55, 60)[k % 3], ("changed", "put in", "behind a line")[k // 3 % 3]
+        p = words(rnd, n)
+        if kind == "behind a line":  # half of the passage is a line of many texts
+            p = line + p[30:]
+        e, at = [*p], rnd.randrange(5, n - 5)
+        if kind == "put in":
+            e.insert(at, "new")
+        else:
+            e[at] = "new"
+        if alike(p, e) < 0.8:
+            continue
+        kinds[k] = (n, kind)
+        for j, body in enumerate((p, e)):
+            rows.append((1000 + 2 * k + j, " ".join(words(rnd, rnd.randrange(20, 90)) + body + words(rnd, rnd.randrange(20, 90)))))
+    rows += [(i, " ".join(words(rnd, 60) + line + words(rnd, 60))) for i in range(200)]
+    later = {r.doc_id for r in sub.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.role == "later"}
+    assert not {i for i in later if i < 1000 or i % 2 == 0}
+    for kind, least in (("changed", 0.9), ("put in", 0.9), ("behind a line", 0.9)):
+        of = [1001 + 2 * k in later for k, v in kinds.items() if v[1] == kind]
+        print(kind, len(of), sum(of) / len(of), [sum(1001 + 2 * k in later for k, v in kinds.items() if v == (n, kind)) / max(1, sum(v == (n, kind) for v in kinds.values())) for n in (50, 55, 60)])
+        assert sum(of) >= least * len(of), kind
+
+
+def test_removal_counts_the_same_words(spark):
+    """Letters that change their number in lower case, and combining marks, do not move the cut."""
+    rnd = random.Random(5)
+    odd = ["İİİ", "straße", "e\u0301te\u0301", "ΑΣ", "x_1", "日本", "٣٤"]
+    passage = words(rnd, 60)
+    head, tail = [rnd.choice(odd) for _ in range(25)], [rnd.choice(odd) for _ in range(25)]
+    rows = [(1, " ".join(passage + words(rnd, 20))), (2, " ".join([*head, *passage, *tail]))]
+    out = {r.doc_id: r.text for r in sub.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[2].split() == [*head, *tail] and out[1] == rows[0][1]
+    assert sub.without_spans("İ a, b! c", [(1, 2), (2, 3)]) == "İ , ! c"
 
 
 def run_counts(texts):
-    c, n = WordHashes(), Counter()
+    n = Counter()
     for t in texts:
-        h = hashes_of(words_of(t), c)
+        h = hashes_of(t)
         if len(h) >= 50:
             n.update(shingles_of(h, 50).tolist())
     return n
