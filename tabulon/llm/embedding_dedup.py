@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from .common import components, cut
 
 DEGREE, ALPHA, BEAM, NEAREST, RANDOM, MEDOIDS = 20, 1.2, 24, 80, 16, 12
-SHARD, OVERLAP = 1000, 2
+SHARD, OVERLAP = 1000, 4
 #: A shard that clustering leaves larger than this (a dense ball) is split again inside its task.
 SHARD_MOST = 4 * SHARD
-CENTROIDS, SAMPLE = 1024, 20_000
+CENTROIDS, SAMPLE = 4096, 40_000
 
 
 def usable(vector: str | Column) -> Column:
@@ -175,26 +175,30 @@ def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embe
     under one id link with each other. component_id: the smallest id reachable by links; null for a null id,
     which is not kept. Other columns are ignored.
 
-    Each class goes to the OVERLAP nearest of its label's clusters of some SHARD classes (centroids from a sample of SAMPLE
-    classes, at most CENTROIDS a label). Every shard builds a robust-pruned graph; the adjacency lists of
+    Each class goes to the OVERLAP nearest of its label's clusters of some SHARD classes (centroids from a sample of some SAMPLE
+    classes of the label, fitted where they lie, at most CENTROIDS a label). Every shard builds a robust-pruned graph; the adjacency lists of
     a class are united over its shards; in every shard each class is searched for from medoids, with
     range expansion, and each pair found is verified in double precision and counted in the first shard
     that it shares. A dense ball is never cut; a shard that is large all the same is split inside its task.
     """
     ok = usable(vector) & F.col(label).isNotNull() & F.col(vec_id).isNotNull()
-    typed = rows.select(F.col(vec_id).alias("id"), F.when(ok, F.xxhash64(F.col(label).cast("string"), F.col(vector))).alias("cid"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("v"))
-    good = typed.where("cid is not null")
-    classes = good.groupBy("cid").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("v").alias("v"))
-    classes = cut(classes.withColumn("label", F.concat_ws(":", F.size("v"), "label")))
-    sizes = classes.groupBy("label").count().where(F.col("count") > SHARD).collect()  # only labels of many classes: N / SHARD at most
-    total = sum(r["count"] for r in sizes)
-    share = {r.label: (min(CENTROIDS, -(-r["count"] // (SHARD // OVERLAP))), min(1.0, SAMPLE / max(1, total))) for r in sizes}
-    centroids = {}
-    if share:
-        picked = classes.where(F.col("label").isin(list(share)) & (F.pmod(F.xxhash64("cid"), F.lit(10**6)) < int(10**6 * min(1.0, SAMPLE / total)))).select("label", "v").toPandas()
-        for name, g in picked.groupby("label"):
-            x = unit(np.stack(g.v.to_numpy()))
-            centroids[name] = cluster(x, min(len(x), share[name][0]))
+    named = F.col(label).cast("string")
+    two = [F.when(ok, F.xxhash64(*salt, named, F.col(vector))).alias(k) for k, salt in (("k", []), ("k2", [F.lit("second")]))]
+    typed = rows.select(F.col(vec_id).alias("id"), *two, named.alias("label"), F.col(vector).cast("array<double>").alias("v"))
+    good = typed.where("k is not null")
+    classes = good.groupBy("k", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("v").alias("v"))
+    classes = classes.withColumn("label", F.concat_ws(":", F.size("v"), "label"))
+    classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()))  # 128 bits name a class, the number stands for them
+    sizes = classes.groupBy("label").count().where(F.col("count") > SHARD)
+    wanted = sizes.select(F.col("label").alias("of"), F.least(F.lit(CENTROIDS), F.ceil(F.col("count") * OVERLAP / SHARD)).cast("int").alias("many"), (F.lit(float(SAMPLE)) / F.col("count")).alias("share"))
+
+    def centres(g: pd.DataFrame) -> pd.DataFrame:
+        x = unit(np.stack(g.sort_values("cid").v.to_numpy()))
+        return pd.DataFrame({"label": [g.label.iloc[0]], "c": [cluster(x, min(len(x), int(g.many.iloc[0]))).ravel().tolist()]})
+
+    sampled = classes.join(wanted, F.col("label") == F.col("of")).where(F.pmod(F.xxhash64("k"), F.lit(10**6)) < F.col("share") * 10**6)
+    fitted = sampled.select("cid", "label", "v", "many").groupBy("label").applyInPandas(centres, "label string, c array<double>")  # some SAMPLE rows each
+    centroids = {r.label: np.array(r.c).reshape(-1, int(r.label.split(":")[0])) for r in fitted.collect()}  # of labels above SHARD classes only
     sent = classes.sparkSession.sparkContext.broadcast(centroids)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +267,7 @@ def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embe
     info = classes.select("cid", "rep", "n").join(links, "cid").join(comps, classes.cid == comps.node, "left").select("cid", "rep", "n", "links", F.coalesce("component", "cid").alias("component"))
     first = info.groupBy("component").agg(F.min("rep").alias("first"))
     info = info.join(first, "component").select("cid", (F.col("n") - 1 + F.col("links")).alias("n_links"), "first")
-    out = typed.select("id", "cid").join(info, "cid", "left")
+    out = typed.select("id", "k", "k2").join(classes.select("k", "k2", "cid"), ["k", "k2"], "left").join(info, "cid", "left")
     comp = F.coalesce("first", "id")
     return out.select(F.col("id").alias(vec_id), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp.cast("long").alias("component_id"), F.coalesce(F.col("id") == comp, F.lit(False)).alias("kept"))
 

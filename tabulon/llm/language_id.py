@@ -82,29 +82,62 @@ class CrossParser:
         self.roots = np.array(self.roots, np.int32)
 
     def phrases(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Phrases (span x language) of data[start:end]; the parse starts anew every BLOCK bytes."""
+        """Phrases (span x language) of data[start:end].
+
+        Blocks of BLOCK bytes are parsed at once, each as if a phrase began there. Where the block before ends inside a
+        phrase, both parses go on together until they meet, and the difference is made good: the counts are those of the whole span.
+        """
         sizes = ends - starts
         blocks = -(-sizes // BLOCK)
         owner = np.repeat(np.arange(len(starts)), blocks)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         at = starts[owner] + nth * BLOCK
         size = np.minimum(BLOCK, ends[owner] - at)
-        order = np.argsort(-size, kind="stable")
-        at, size, owner = at[order], size[order], owner[order]
         out = np.zeros((len(starts), len(self.langs)), np.int64)
         if not len(at):
             return out
         symbols = self.symbol[data]
+        began = np.repeat(self.roots[None, :], len(at), 0)
+        count, end = self._blocks(symbols, at, size)
+        later = np.flatnonzero(nth)
+        while True:
+            wanted = began.copy()
+            wanted[later] = end[later - 1]
+            b, lang = np.nonzero(wanted != began)
+            if not len(b):
+                break
+            old, new, gain = began[b, lang], wanted[b, lang], np.zeros(len(b), np.int64)
+            began[b, lang] = new
+            place, left, live = at[b], size[b], np.arange(len(b))
+            while len(live):
+                x, y = (self.table[s[live] * self.width + symbols[place[live]]] for s in (old, new))
+                gain[live] += (y & 3) - (x & 3)
+                old[live], new[live] = x >> 2, y >> 2
+                place[live] += 1
+                left[live] -= 1
+                over = live[left[live] == 0]
+                end[b[over], lang[over]] = new[over]
+                live = live[(old[live] != new[live]) & (left[live] > 0)]
+            count[b, lang] += gain
+        last = nth == blocks[owner] - 1
+        count[last] += end[last] != self.roots
+        np.add.at(out, owner, count)
+        return out
+
+    def _blocks(self, symbols: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that end in each block, and the state at its end, for each language."""
+        order = np.argsort(-size, kind="stable")
+        at, size = at[order], size[order]
         state = np.repeat(self.roots[None, :], len(at), 0)
-        count = np.zeros(state.shape, np.int32)
+        count = np.zeros(state.shape, np.int64)
         live = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right")
         for step, n in enumerate(live):
             got = self.table[state[:n] * self.width + symbols[at[:n] + step][:, None]]
             count[:n] += got & 3
             state[:n] = got >> 2
-        count += state != self.roots
-        np.add.at(out, owner, count)
-        return out
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return count[back], state[back]
 
 
 _parsers: dict[str, CrossParser] = {}
@@ -127,27 +160,33 @@ def held_out(doc_id: str | Column) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_texts(docs: DataFrame, text: str, lang: str, rows_per_lang: int, chars_per_row: int) -> dict[str, bytes]:
-    """Of each language the rows_per_lang rows that come first by hash, chars_per_row from the middle of each."""
-    middle = F.substring(F.col(text), F.greatest(F.lit(1), F.floor((F.length(text) - chars_per_row) / 2).cast("int")), F.lit(chars_per_row))
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).cast("string").alias("l"), F.xxhash64(text).alias("h"), middle.alias("t"))
-    first = rows.withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))).where(F.col("n") <= rows_per_lang)
+def training_texts(docs: DataFrame, text: str, lang: str, rows_per_lang: int, chars_per_lang: int) -> dict[str, bytes]:
+    """Of each language the rows_per_lang different texts that come first by hash, those up to a sixteenth of chars_per_lang before longer ones.
+
+    Whole texts, until they have chars_per_lang characters; only a first text that is longer by itself is cut there.
+    """
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).cast("string").alias("l"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
+    kinds = rows.select("l", (F.length("t") > chars_per_lang // 16).alias("long"), "h").distinct()
+    first = kinds.withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("long", "h"))).where(F.col("n") <= rows_per_lang)
+    picked = rows.join(F.broadcast(first.select("l", "h", "n")), ["l", "h"]).groupBy("l", "n").agg(F.min("t").alias("t"))  # languages x rows_per_lang
     out: dict[str, list[str]] = {}
-    for r in first.orderBy("l", "n").collect():  # at most languages x rows_per_lang x chars_per_row
-        out.setdefault(r.l, []).append(r.t)
+    for r in picked.select("l", "n", F.substring("t", 1, chars_per_lang).alias("t")).orderBy("l", "n").collect():
+        own = out.setdefault(r.l, [])
+        if not own or sum(map(len, own)) + len(r.t) <= chars_per_lang:
+            own.append(r.t)
     return {k: b"".join(x.encode() for x in cleaned(pa.array(v)).to_pylist()) for k, v in out.items()}
 
 
-def identify(docs: DataFrame, labelled: DataFrame, text: str = "text", lang: str = "lang", rows_per_lang: int = 48, chars_per_row: int = 1000) -> DataFrame:
+def identify(docs: DataFrame, labelled: DataFrame, text: str = "text", lang: str = "lang", rows_per_lang: int = 48, chars_per_lang: int = 64_000) -> DataFrame:
     """All rows and columns of docs but the text, plus lang_pred, score.
 
-    labelled: rows with text and language to learn from; a bounded sample of each language is used
-    (rows_per_lang x chars_per_row). Each whole text is parsed. A language's cost is its number of
+    labelled: rows with text and language to learn from; a bounded sample of each language is used (see
+    training_texts). Each whole text is parsed. A language's cost is its number of
     phrases times log2 of its training size, over the text's bytes; the least wins, the first in name
     order among equals. score: 1 - least/second least cost (1 with one language). Null texts, texts without
     a letter, and all texts where nothing can be learned, get `und` and score 0. Rows are independent.
     """
-    texts = training_texts(labelled, text, lang, rows_per_lang, chars_per_row)
+    texts = training_texts(labelled, text, lang, rows_per_lang, chars_per_lang)
     names = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
     schema = T.StructType([*docs.select(names).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     sent = docs.sparkSession.sparkContext.broadcast(texts)
@@ -157,7 +196,7 @@ def identify(docs: DataFrame, labelled: DataFrame, text: str = "text", lang: str
         langs = np.array([*p.langs, UNKNOWN], object)
         for b in pieces(batches, text, 2 << 20):
             col = cleaned(b.column(text))
-            col = pc.utf8_trim(col, " ").cast(pa.large_string()).combine_chunks() if isinstance(col, pa.ChunkedArray) else pc.utf8_trim(col, " ").cast(pa.large_string())
+            col = pc.utf8_trim(col, " ").cast(pa.large_string())
             offsets = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
             data = np.frombuffer(col.buffers()[2] or b"", np.uint8)
             size = offsets[1:] - offsets[:-1]
@@ -165,7 +204,7 @@ def identify(docs: DataFrame, labelled: DataFrame, text: str = "text", lang: str
             if p.langs:
                 cost = p.phrases(data, offsets[:-1], offsets[1:]) * np.array(p.bits) / np.maximum(size, 1)[:, None]
                 ranked = np.sort(cost, 1)
-                ok = size > 0
+                ok = (size > 0) & pc.match_substring_regex(col, r"\pL").to_numpy(zero_copy_only=False)
                 pred[ok] = langs[np.argmin(cost, 1)[ok]]
                 score[ok] = 1 - ranked[ok, 0] / ranked[ok, 1] if len(p.langs) > 1 else 1.0
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(pred, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])

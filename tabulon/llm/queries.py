@@ -107,5 +107,17 @@ FROM e GROUP BY conv_id
 """
 
 
+_EMBEDDING_SQL = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.93),
+reach(a, b) AS (SELECT vec_id, vec_id FROM good UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+comp AS (SELECT a, min(b) AS c FROM reach GROUP BY a), n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(comp.c, e.vec_id)::BIGINT AS component_id, coalesce(comp.c, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN comp ON comp.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": _URL_SQL, "op9_chat_formatting": _CHAT_SQL}
+    return {"op6_embedding_dedup": _EMBEDDING_SQL, "op3_url_filter": _URL_SQL, "op9_chat_formatting": _CHAT_SQL}

@@ -55,18 +55,30 @@ def test_cross_parsing_counts_phrases():
     assert got.tolist() == [[brute_phrases(t, train[k]) for k in p.langs] for t in texts]
 
 
-def test_long_texts_are_parsed_whole():
-    p = language_id.CrossParser({"x": b"ab" * 50})
-    text = np.frombuffer(b"zq" * 5000, np.uint8)
-    assert p.phrases(text, np.array([0]), np.array([10_000])).tolist() == [[10_000]]
+@pytest.mark.parametrize("block", [1, 7, 64])
+def test_long_texts_are_parsed_whole(monkeypatch, block):
+    """Blocks that are parsed at once give the phrases of one parse from the first byte to the last."""
+    monkeypatch.setattr(language_id, "BLOCK", block)
+    rnd = random.Random(block)
+    train = {"x": bytes(rnd.choice(b"abc") for _ in range(400)), "y": b"ab" * 200, "z": bytes(rnd.choice(b"bcd") for _ in range(50))}
+    p = language_id.CrossParser(train)
+    texts = [b"ab" * 90, bytes(rnd.choice(b"abcdz") for _ in range(400)), b"zq" * 100, train["x"][30:200] + train["x"][:50], b"a"]
+    data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
+    assert p.phrases(data, ends - [len(t) for t in texts], ends).tolist() == [[brute_phrases(t, train[k]) for k in p.langs] for t in texts]
+
+
+def test_training_texts(spark):
+    rows = [("same text of many copies " * 3, "en")] * 300 + [(f"text number {i} of this language " * 4, "en") for i in range(30)] + [("lang " * 9000, "de"), ("\u0301", "fr")]
+    got = language_id.training_texts(spark.createDataFrame(rows, "t string, l string"), "t", "l", 10, 2000)
+    assert set(got) == {"en", "de"} and got["en"].count(b"same text") in (0, 3) and len(got["de"]) == 2000 and 900 < len(got["en"]) <= 2000
 
 
 def test_language_cases(spark):
     en, fr = "the of and to that is with for was this " * 5, "les des est une dans pour que qui sur avec " * 5
     train = spark.createDataFrame([(en, "en"), (fr, "fr"), (None, "en"), ("123", "fr"), ("x", None)], "text string, lang string")
-    docs = spark.createDataFrame([(1, en), (2, fr * 400), (3, None), (4, ""), (5, "12 !!"), (1, en), (None, "The That"), (6, "日本")], "doc_id long, text string").withColumn("score", F.lit(0)).withColumn("lang", F.lit("zz"))
+    docs = spark.createDataFrame([(1, en), (2, fr * 400), (3, None), (4, ""), (5, "12 !!"), (1, en), (None, "The That"), (6, "日本"), (7, "\u0301\u0302")], "doc_id long, text string").withColumn("score", F.lit(0)).withColumn("lang", F.lit("zz"))
     got = [(r.doc_id, r.lang_pred) for r in language_id.identify(docs, train).collect()]
-    assert sorted((d, x) for d, x in got if d) == [(1, "en"), (1, "en"), (2, "fr"), (3, "und"), (4, "und"), (5, "und"), (6, "en")]
+    assert sorted((d, x) for d, x in got if d) == [(1, "en"), (1, "en"), (2, "fr"), (3, "und"), (4, "und"), (5, "und"), (6, "en"), (7, "und")]
     assert (None, "en") in got
     assert {r.lang_pred for r in language_id.identify(docs, train.limit(0)).collect()} == {"und"}
     assert language_id.identify(docs.limit(0), train).count() == 0

@@ -263,3 +263,13 @@ def test_mix_budgets(spark):
     far = mixing.mix(frame, block_docs=16, broadcast_rows=0).collect()
     assert Counter((r.source, r.doc_id, r.mix_pass) for r in far) == Counter((r.source, r.doc_id, r.mix_pass) for r in got)
     assert mixing.mix(frame.limit(0)).count() == 0
+
+
+def test_mix_keeps_the_repetition_limit(spark):
+    one = spark.createDataFrame([(1, "s", "w " * 20)], "doc_id long, source string, text string").withColumn("n", F.lit(5))
+    with pytest.warns(UserWarning, match="cut"):
+        assert mixing.mix(one, budget=200).count() == 4
+    assert mixing.mix(one, tokens="n", budget=10).count() == 2
+    rows = [(i, s, "a b c d e") for s, n in (("big", 200), ("small", 3)) for i in range(n)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), max_repeats=2.0, target_entropy=1.0)
+    assert max(r["count"] for r in got.groupBy("doc_id", "source").count().collect()) <= 2
