@@ -400,3 +400,28 @@ def test_pipeline(spark):
     assert p.decontaminate.leaks(docs, spark.read.parquet(f"{folder}/benchmark.parquet")).count() == 0
     out = p.run(spark, folder)
     assert out.count() > 0.9 * sizes[-1] and "mix_pass" in out.columns
+
+
+def test_pipeline_odd_rows(spark, tmp_path):
+    """Null ids, texts and sources, empty texts, repeated rows, and columns whose names the stages use inside."""
+    import corpus_pipeline as p
+
+    rnd = random.Random(12)
+    rows = [(i, " ".join(words(rnd, 80)), "en", f"s{i % 3}") for i in range(40)]
+    rows += [(50, None, "en", "s1"), (51, "", None, "s1"), (None, " ".join(words(rnd, 90)), "fr", None), (52, "one", "en", "s2"), rows[3], rows[3]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    for c in ("block", "row", "mix_pass", "key", "d", "id", "n", "s", "keep", "p_doc", "role", "sig", "item_id"):
+        docs = docs.withColumn(c, F.lit(f"own {c}"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None), (2, ""), (3, rows[7][1])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in p.STAGES[:-1]:
+        docs = p.cut(stage(spark, docs, str(tmp_path)))
+    ids = [r.doc_id for r in docs.collect()]
+    assert 7 not in ids and ids.count(3) == 1 and {50, 51, 52} <= set(ids) and None in ids
+    out = p.STAGES[-1][1](spark, docs, str(tmp_path)).toPandas()
+    assert len(out) and len(out.columns) == len(set(out.columns)) and (out["block"] == "own block").all() and (out["key"] == "own key").all()
+    empty = spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0)
+    for _, stage in p.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
