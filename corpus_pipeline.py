@@ -1,8 +1,14 @@
-"""A corpus pipeline of five stages over the documents table; each stage gets what its predecessor kept."""
+"""A corpus pipeline of five stages over the documents table; each stage gets what its predecessor kept.
+
+Null and empty texts pass all stages but the last's budget; rows with a null id stay; wholly repeated rows become one in near_dedup;
+of equal scores, sizes and hashes the smaller id goes first; empty tables stay empty; other columns go along under any name,
+but mix_* columns, which the last stage replaces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tabulon.llm import decontaminate, mixing, near_dedup, quality, substring_dedup
 from tabulon.llm.common import cut, table
@@ -30,8 +36,9 @@ def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often and in the order that the source weights ask for."""
-    out = mixing.mix(docs)
-    return out.select(*docs.columns, "mix_pass", "mix_block", "mix_order.block", "mix_order.row")
+    own = [c for c in docs.columns if not c.startswith("mix_")]
+    out = mixing.mix(docs.select(own))
+    return out.select(*own, "mix_pass", "mix_block", F.col("mix_order.block").alias("mix_block_order"), F.col("mix_order.row").alias("mix_row_order"))
 
 
 STAGES = [("quality", good_quality), ("near_dedup", one_of_each_group), ("substring_dedup", without_repeats), ("decontamination", without_leaks), ("mixing", mixed)]
