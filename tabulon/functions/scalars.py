@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..plans.intent import PAIR
+
+#: The fence that opens code in a reply, and the words that mark a failed one.
+FENCE, FAILED = "```python", ("Error", "TIMEOUT")
+
 
 def truncate_utf8(x: Column, size: int = 72) -> Column:
     """The longest prefix of whole characters of `size` bytes at most.
@@ -42,20 +47,18 @@ def is_csv(name: Column) -> Column:
 
 def fenced_code(reply: Column) -> Column:
     """Text of the first python fence to the next fence, or the whole reply; trimmed."""
-    fence = "```python"
-    at = F.instr(reply, fence)
-    rest = F.substring(reply, at + len(fence), F.length(reply))
+    at = F.instr(reply, FENCE)
+    rest = F.substring(reply, at + len(FENCE), F.length(reply))
     return F.trim(F.when(at > 0, F.substring_index(rest, "```", 1)).otherwise(reply), F.lit(" \n\r\t"))
 
 
 def is_failure(reply: Column) -> Column:
-    return reply.contains("Error") | reply.contains("TIMEOUT")
+    return reply.contains(FAILED[0]) | reply.contains(FAILED[1])
 
 
 def first_pair(question: Column) -> tuple[Column, Column]:
     """The words on either side of vs, against or and."""
-    pattern = r"([a-z_]+)\s*(?:vs|against|and)\s*([a-z_]+)"
-    part = lambda i: F.nullif(F.regexp_extract(F.lower(question), pattern, i), F.lit(""))
+    part = lambda i: F.nullif(F.regexp_extract(F.lower(question), PAIR, i), F.lit(""))
     return part(1), part(2)
 
 
@@ -87,5 +90,5 @@ def backoff(attempt: Column) -> Column:
 
 
 def price_text(x: Column) -> Column:
-    """Two decimals with thousands separators."""
-    return F.format_number(x, 2)
+    """Two decimals, no thousands separators."""
+    return F.format_string("%.2f", x.cast("double"))

@@ -34,7 +34,7 @@ def query(oracle: str | None = None):
 
 
 def from_sql(name: str, text: str, tables: tuple[str, ...], oracle: str | None = None) -> None:
-    """Register a query that is SQL text itself, run through the guarded SQL runner over views of its own session."""
+    """Register a query that is SQL text itself, run through the guarded SQL runner; the tables become views of the caller's session."""
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
         for t in tables:
@@ -138,9 +138,23 @@ def regression_1d(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"), F.round("r2", 8).alias("r2"), "n")
 
 
-@query()
+def _normal_equations(t: str, x: tuple[str, str, str], y: str) -> str:
+    """Least squares over three columns by Cramer's rule on the centred sums."""
+    sums = ", ".join(f"covar_pop({a}, {b}) AS s{i}{j}" for i, a in enumerate(x) for j, b in enumerate(x)) + ", " + ", ".join(f"covar_pop({a}, {y}) AS t{i}" for i, a in enumerate(x))
+    det = lambda m: f"({m[0][0]} * ({m[1][1]} * {m[2][2]} - {m[1][2]} * {m[2][1]}) - {m[0][1]} * ({m[1][0]} * {m[2][2]} - {m[1][2]} * {m[2][0]}) + {m[0][2]} * ({m[1][0]} * {m[2][1]} - {m[1][1]} * {m[2][0]}))"
+    base = [[f"s{i}{j}" for j in range(3)] for i in range(3)]
+    solved = ", ".join(f"{det([[f't{i}' if j == k else base[i][j] for j in range(3)] for i in range(3)])} / {det(base)} AS b{k}" for k in range(3))
+    terms = "('intercept', my - b0 * m0 - b1 * m1 - b2 * m2), " + ", ".join(f"('{a}', b{k})" for k, a in enumerate(x))
+    return f"""
+WITH s AS (SELECT {sums}, {", ".join(f"avg({a}) AS m{i}" for i, a in enumerate(x))}, avg({y}) AS my, var_pop({y}) AS vy FROM {t}), b AS (SELECT *, {solved} FROM s)
+SELECT term, round(c, 4) AS coefficient, round((b0 * t0 + b1 * t1 + b2 * t2) / vy, 8) AS r2, round(vy - b0 * t0 - b1 * t1 - b2 * t2, 0) AS mse FROM b, LATERAL (VALUES {terms}) v(term, c)
+"""
+
+
+@query(_normal_equations("lineitem", ("l_quantity", "l_discount", "l_tax"), "l_extendedprice"))
 def regression_nd(spark: SparkSession, folder: str) -> DataFrame:
-    return stats.regression_many(table(spark, folder, "lineitem"), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice")
+    out = stats.regression_many(table(spark, folder, "lineitem"), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice")
+    return out.select("term", F.round("coefficient", 4).alias("coefficient"), F.round("r2", 8).alias("r2"), F.round("mse", 0).alias("mse"))
 
 
 @query("SELECT count(l_quantity) AS n, round(avg(l_quantity), 6) AS mean, round(var_samp(l_quantity), 6) AS var, round(skewness(l_quantity), 6) AS skew, round(kurtosis(l_quantity), 6) AS kurt FROM lineitem")
@@ -184,7 +198,7 @@ from_sql("join_self", "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN na
 from_sql("semi_exists", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000)", ("customer", "orders"))
 from_sql("semi_in", "SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 50)", ("part", "lineitem"))
 from_sql("anti_not_exists", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000)", ("customer", "orders"))
-from_sql("anti_not_in", "SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity >= 50 AND l_suppkey IS NOT NULL)", ("supplier", "lineitem"))
+from_sql("anti_not_in", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 45 AND l_partkey IS NOT NULL)", ("part", "lineitem"))
 from_sql("scalar_subquery", "SELECT o_orderkey, o_totalprice FROM orders o WHERE o_totalprice > (SELECT 1.5 * avg(o2.o_totalprice) FROM orders o2 WHERE o2.o_custkey = o.o_custkey)", ("orders",))
 from_sql("union_all", "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier", ("customer", "supplier"))
 from_sql("union_distinct", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier", ("customer", "supplier"))
@@ -257,10 +271,10 @@ def cleaning(spark: SparkSession, folder: str) -> DataFrame:
     return joined.na.fill({"quality": -1}).replace({"en": "english"}, subset=["lang"]).select("doc_id", "quality", reshape.clip(F.col("n_chars"), 100, 5000).cast("long").alias("chars"), "lang")
 
 
-@query("SELECT c_custkey AS key, c_name AS name, CAST(NULL AS VARCHAR) AS brand FROM customer WHERE c_custkey < 50 UNION ALL SELECT p_partkey, p_name, p_brand FROM part WHERE p_partkey < 50")
+@query("SELECT c_custkey AS key, c_name AS name, CAST(NULL AS VARCHAR) AS brand FROM customer UNION ALL SELECT p_partkey, p_name, p_brand FROM part")
 def concat_frames(spark: SparkSession, folder: str) -> DataFrame:
-    a = table(spark, folder, "customer").where("c_custkey < 50").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"))
-    b = table(spark, folder, "part").where("p_partkey < 50").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"))
+    a = table(spark, folder, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"))
+    b = table(spark, folder, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"))
     return reshape.concat(a, b)
 
 
@@ -274,13 +288,13 @@ def encode_scalars(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "part").select("p_partkey", F.base64(F.encode("p_name", "UTF-8")).alias("b64"), F.md5("p_name").alias("digest"), F.format_string("%.2f", "p_retailprice").alias("price"))
 
 
-@query("SELECT r_regionkey, r_name, 5::INTEGER AS cols, 'string' AS kind FROM region")
+@query("SELECT c_custkey, length(c_name)::INTEGER AS cols, c_mktsegment AS kind, c_name AS first FROM customer")
 def json_metadata(spark: SparkSession, folder: str) -> DataFrame:
     """Metadata written as JSON text and read back by schema."""
-    info = F.to_json(F.struct(F.array(F.lit("a"), F.lit("b")).alias("columns"), F.create_map(F.lit("a"), F.lit("string")).alias("dtypes"), F.struct(F.lit(3).alias("rows"), F.lit(5).alias("cols")).alias("shape")))
-    kept = table(spark, folder, "region").withColumn("info", info)
+    info = F.to_json(F.struct(F.array("c_name", F.lit("b")).alias("columns"), F.create_map(F.lit("a"), F.col("c_mktsegment")).alias("dtypes"), F.struct(F.lit(3).alias("rows"), F.length("c_name").alias("cols")).alias("shape")))
+    kept = table(spark, folder, "customer").select("c_custkey", info.alias("info"))
     read = kept.withColumn("i", F.from_json("info", "columns array<string>, dtypes map<string,string>, shape struct<rows:int,cols:int>"))
-    return read.select("r_regionkey", "r_name", F.col("i.shape.cols").alias("cols"), F.col("i.dtypes")["a"].alias("kind"))
+    return read.select("c_custkey", F.col("i.shape.cols").alias("cols"), F.col("i.dtypes")["a"].alias("kind"), F.col("i.columns")[0].alias("first"))
 
 
 @query("SELECT conv_id, turn FROM conversations WHERE role || '_' || conv_id = 'user_3'")
@@ -293,20 +307,31 @@ def session_totals(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "conversations").groupBy("conv_id").agg(F.count("*").alias("messages"), F.sum(F.length("text")).cast("long").alias("chars"))
 
 
-@query("SELECT doc_id, 'Based on the above search results and context, please answer the following question: ' || source || '?' || chr(10) || 'AI:' AS prompt FROM documents WHERE doc_id < 20")
+@query("""
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE '[PDF 1 Content Start: ' || source || ']' || chr(10) || text || chr(10) || '[PDF 1 Content End]' || chr(10) END
+  || CASE WHEN lang = 'de' THEN chr(10) || '[SEARCH RESULTS START]' || chr(10) || 'Source 1: ' || lang || chr(10) || 'URL: No URL' || chr(10) || 'Content: ' || text || chr(10) || chr(10) || '[SEARCH RESULTS END]' || chr(10) || chr(10) ELSE '' END
+  || 'User: ' || source || chr(10) || 'AI: ' || lang || chr(10)
+  || 'Based on the above search results and context, please answer the following question: ' || source || '?' || chr(10) || 'AI:' AS prompt FROM documents
+""")
 def context_prompt(spark: SparkSession, folder: str) -> DataFrame:
-    none = F.lit(None).cast("string")
-    return table(spark, folder, "documents").where("doc_id < 20").select("doc_id", context.prompt(none, F.lit(""), none, F.concat("source", F.lit("?"))).alias("prompt"))
+    """Prompts of all four parts, some with no document or no search result."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
+    blocks = context.document_context(docs.where("doc_id % 3 <> 0"), ["doc_id"], "lang", filename="source", text="text")
+    hits = docs.where("lang = 'de'").select("doc_id", F.lit(1).alias("rank"), F.col("lang").alias("title"), F.col("text").alias("body"), F.lit("").alias("href"))
+    found = context.search_context(hits, ["doc_id"]).select("doc_id", "block")
+    history = context.last_history(docs.select("doc_id", F.lit(1).alias("n"), F.col("source").alias("prompt"), F.col("lang").alias("response")), ["doc_id"], ["n"])
+    all_parts = docs.join(blocks, "doc_id", "left").join(found, "doc_id", "left").join(history, "doc_id")
+    return all_parts.select("doc_id", context.prompt(F.col("documents"), F.col("block"), F.col("history"), F.concat("source", F.lit("?"))).alias("prompt"))
 
 
-@query()
+@query("SELECT p_partkey, array_to_string(list_transform(string_split(p_type, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS kind FROM part")
 def registered_functions(spark: SparkSession, folder: str) -> DataFrame:
     registry.install(spark)
     table(spark, folder, "part").createOrReplaceTempView("part")
     return sql.run(spark, "SELECT p_partkey, title_case(p_type) AS kind FROM part")
 
 
-@query("SELECT vec_id, 64::INTEGER AS n, embedding[1] AS head, list_position(embedding, embedding[3])::BIGINT AS third, round(list_sum(list_transform(embedding[1:4], lambda x: x::DOUBLE)), 4) + 0.0::DOUBLE AS s4 FROM embeddings")
+@query("SELECT vec_id, len(embedding)::INTEGER AS n, embedding[1] AS head, list_position(embedding, embedding[3])::BIGINT AS third, round(list_sum(list_transform(embedding[1:4], lambda x: x::DOUBLE)), 4) + 0.0::DOUBLE AS s4 FROM embeddings")
 def array_scalars(spark: SparkSession, folder: str) -> DataFrame:
     v = F.col("embedding")
     total = F.aggregate(F.slice(v, 1, 4), F.lit(0.0), lambda a, x: a + x.cast("double"))
@@ -368,34 +393,35 @@ def context_history(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-SELECT source, string_agg('[PDF ' || k || ' Content Start: ' || doc_id || ']' || chr(10) || t || chr(10) || '[PDF ' || k || ' Content End]' || chr(10), '' ORDER BY k) AS documents
-FROM (SELECT source, doc_id, substr(text, 1, 40) AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE text IS NOT NULL AND lang = 'fr') WHERE length(t) > 0 GROUP BY source
+SELECT source, batch, string_agg('[PDF ' || k || ' Content Start: ' || doc_id || ']' || chr(10) || text || chr(10) || '[PDF ' || k || ' Content End]' || chr(10), '' ORDER BY k) AS documents
+FROM (SELECT source, doc_id // 400 AS batch, doc_id, text, row_number() OVER (PARTITION BY source, doc_id // 400 ORDER BY doc_id) AS k FROM documents WHERE text IS NOT NULL) WHERE length(text) > 0 GROUP BY source, batch
 """)
 def context_documents(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").where("lang = 'fr'").select("source", "doc_id", F.col("doc_id").cast("string").alias("filename"), F.substring("text", 1, 40).alias("extracted_text"))
-    return context.document_context(docs, ["source"], "doc_id")
+    """A source's uploads in batches, so that no session grows with the table."""
+    docs = table(spark, folder, "documents").select("source", F.floor(F.col("doc_id") / 400).cast("long").alias("batch"), "doc_id", F.col("doc_id").cast("string").alias("filename"), F.col("text").alias("extracted_text"))
+    return context.document_context(docs, ["source", "batch"], "doc_id")
 
 
-_HITS = "SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank, CASE WHEN doc_id % 3 = 0 THEN '' ELSE substr(text, 1, 15) END AS title, CASE WHEN doc_id % 6 IN (0, 1) THEN '' ELSE substr(text, 16, 60) END AS body, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'http://x/' || doc_id END AS href FROM documents WHERE lang = 'de' AND n_chars > 100"
+_HITS = "SELECT source, cast(floor(doc_id / 400) AS bigint) AS batch, row_number() OVER (PARTITION BY source, floor(doc_id / 400) ORDER BY doc_id) AS rank, CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END AS title, CASE WHEN doc_id % 6 IN (0, 1) THEN '' ELSE text END AS body, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'http://x/' || doc_id END AS href FROM documents"
 
 
 @query(f"""
 WITH h AS ({_HITS}),
-g AS (SELECT source, count(*) AS n_results, count(*) FILTER (WHERE title <> '' OR body <> '') AS n_valid,
-  chr(10) || '[SEARCH RESULTS START]' || chr(10) || coalesce(string_agg('Source ' || rank || ': ' || CASE WHEN title = '' THEN 'No title' ELSE title END || chr(10) || 'URL: ' || CASE WHEN href = '' THEN 'No URL' ELSE href END || chr(10) || 'Content: ' || CASE WHEN body = '' THEN 'No content available' ELSE body END || chr(10) || chr(10), '' ORDER BY rank) FILTER (WHERE title <> '' OR body <> ''), '') || '[SEARCH RESULTS END]' || chr(10) || chr(10) AS full_block FROM h GROUP BY source)
-SELECT source, CASE WHEN n_valid > 0 THEN full_block ELSE '' END AS block, n_results, n_valid, length(full_block)::INTEGER AS chars,
+g AS (SELECT source, batch, count(*) AS n_results, count(*) FILTER (WHERE title <> '' OR body <> '') AS n_valid,
+  chr(10) || '[SEARCH RESULTS START]' || chr(10) || coalesce(string_agg('Source ' || rank || ': ' || CASE WHEN title = '' THEN 'No title' ELSE title END || chr(10) || 'URL: ' || CASE WHEN href = '' THEN 'No URL' ELSE href END || chr(10) || 'Content: ' || CASE WHEN body = '' THEN 'No content available' ELSE body END || chr(10) || chr(10), '' ORDER BY rank) FILTER (WHERE title <> '' OR body <> ''), '') || '[SEARCH RESULTS END]' || chr(10) || chr(10) AS full_block FROM h GROUP BY source, batch)
+SELECT source, batch, CASE WHEN n_valid > 0 THEN full_block ELSE '' END AS block, n_results, n_valid, length(full_block)::INTEGER AS chars,
   CASE WHEN n_results = 0 THEN 'No results found' WHEN n_valid = 0 THEN 'All results empty' WHEN length(full_block) < 100 THEN 'not successful' ELSE 'success' END AS status FROM g
 """)
 def search_block_status(spark: SparkSession, folder: str) -> DataFrame:
     table(spark, folder, "documents").createOrReplaceTempView("documents")
-    return context.search_context(spark.sql(_HITS), ["source"])
+    return context.search_context(spark.sql(_HITS), ["source", "batch"])
 
 
 def _topup_sql(most: int | None) -> str:
     n = "least(3, (SELECT count(*) FROM n))" if most is None else f"least({most} - 2, (SELECT count(*) FROM n))"
     total = 5 if most is None else most
     return f"""
-WITH a AS (SELECT doc_id FROM documents WHERE source = 'src1' AND doc_id < 40), n AS (SELECT doc_id FROM documents WHERE source = 'src2' AND doc_id < 40), w AS (SELECT doc_id FROM documents WHERE source = 'src3'),
+WITH a AS (SELECT doc_id FROM documents WHERE source = 'src1'), n AS (SELECT doc_id FROM documents WHERE source = 'src2'), w AS (SELECT doc_id FROM documents WHERE source = 'src3'),
 r AS (SELECT 1 AS priority, doc_id, row_number() OVER (ORDER BY doc_id) AS i FROM a UNION ALL SELECT 2, doc_id, row_number() OVER (ORDER BY doc_id) FROM n UNION ALL SELECT 3, doc_id, row_number() OVER (ORDER BY doc_id) FROM w),
 t AS (SELECT least(2, (SELECT count(*) FROM a)) AS ta, {n} AS tn),
 p AS (SELECT r.* FROM r, t WHERE (priority = 1 AND i <= ta) OR (priority = 2 AND i <= tn) OR (priority = 3 AND i <= {total} - ta - tn))
@@ -405,7 +431,7 @@ SELECT doc_id, priority::INTEGER AS priority, (row_number() OVER (ORDER BY prior
 
 def _ranked_sources(spark: SparkSession, folder: str) -> list[DataFrame]:
     docs = table(spark, folder, "documents").select("doc_id", "source")
-    return [docs.where(f"source = 'src{i}'" + (" and doc_id < 40" if i < 3 else "")).select("doc_id") for i in (1, 2, 3)]
+    return [docs.where(f"source = 'src{i}'").select("doc_id") for i in (1, 2, 3)]
 
 
 @query(_topup_sql(None))
@@ -441,35 +467,64 @@ def text_scalars(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", scalars.extension(F.concat("source", F.lit(".TXT"))).alias("ext"), scalars.mask(x).alias("masked"), scalars.title_of(x).alias("title"), (F.length(x) > 0).alias("has_text"))
 
 
-@query()
+@query("""
+SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN 2 ELSE 1 END::INTEGER AS size, greatest(o_custkey, 500)::BIGINT AS at_least, CAST(NULL AS DOUBLE) AS nothing, CAST(NULL AS BIGINT) AS rest,
+  round(o_totalprice / 1000) AS thousands, strftime(date_trunc('month', o_orderdate) + INTERVAL 1 MONTH + to_days((day(o_orderdate) - 1)::INTEGER), '%Y-%m-%d') AS due, o_orderpriority ILIKE '1-urg%' AS urgent FROM orders
+""")
 def sqlite_dialect(spark: SparkSession, folder: str) -> DataFrame:
-    """Functions of the embedded-database dialect over orders."""
-    sqlite_compat.register(spark)
+    """Meanings of the embedded-database dialect, written as its users write them."""
     table(spark, folder, "orders").createOrReplaceTempView("orders")
-    return sql.run(spark, sqlite_compat.rewrite("SELECT o_orderstatus, total(o_totalprice) AS total, iif(count(*) > 10, 'many', 'few') AS size, max(sqlite_div(1, 0)) AS nothing FROM orders GROUP BY o_orderstatus"))
+    return sqlite_compat.run(spark, """SELECT o_orderkey, iif(o_totalprice > 100000, 2, 1) AS size, max(o_custkey, 500) AS at_least, o_totalprice / 0 AS nothing, "o_orderkey" % 0 AS rest, round(o_totalprice / 1000) AS thousands, date(o_orderdate, '+1 month') AS due, o_orderpriority LIKE '1-URG%' AS urgent FROM orders""")
+
+
+@query("SELECT o_orderstatus, sum(o_totalprice)::DOUBLE::BIGINT // 1000 AS total, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS kinds FROM orders GROUP BY o_orderstatus")
+def sqlite_aggregates(spark: SparkSession, folder: str) -> DataFrame:
+    table(spark, folder, "orders").select("o_orderstatus", "o_orderpriority", "o_totalprice").createOrReplaceTempView("orders")
+    got = sqlite_compat.run(spark, "SELECT o_orderstatus, total(abs(o_totalprice)) AS total, group_concat(DISTINCT o_orderpriority) AS kinds FROM orders GROUP BY o_orderstatus")
+    return got.select("o_orderstatus", F.floor(F.col("total") / 1000).alias("total"), F.array_join(F.array_sort(F.split("kinds", ",")), ",").alias("kinds"))
+
 
+_GUARDED = [
+    ("select 1", True), ("  SELECT 1", True), ("with c as (select 1) select * from c", True), ("with c as (select 1) insert into x select * from c", False), ("drop table x", False), ("insert into x values (1)", False),
+    ("set a=b", False), ("select 1; select 2", False), ("select transform(a) using 'cat' from t", False), ("select java_method('java.lang.System', 'exit', 1)", False), ("select * from parquet.`/path`", False),
+    ("select identifier('java_method')('java.util.UUID', 'randomUUID')", False), ("with c as (select identifier('reflect')('a', 'b')) select * from c", False), ("select (select identifier('reflect')('a', 'b'))", False),
+    ("execute immediate 'create temporary view zz as select 1 as a'", False),
+]
 
-@query()
+
+@query("SELECT * FROM (VALUES " + ", ".join("('" + c.replace("'", "''") + f"', {ok}, {c.strip().lower().startswith('select')})" for c, ok in _GUARDED) + ") t(text, allowed, by_prefix)")
 def sql_guard(spark: SparkSession, folder: str) -> DataFrame:
-    cases = ["select 1", "  SELECT 1", "with c as (select 1) select * from c", "with c as (select 1) insert into x select * from c", "drop table x", "insert into x values (1)", "set a=b", "select 1; select 2", "select transform(a) using 'cat' from t", "select java_method('java.lang.System', 'exit', 1)", "select * from parquet.`/path`"]
-    return spark.createDataFrame([(c, sql.is_read_only(spark, c), sql.starts_with_select(c)) for c in cases], "text string, allowed boolean, by_prefix boolean")
+    return spark.createDataFrame([(c, sql.is_read_only(spark, c), sql.starts_with_select(c)) for c, _ in _GUARDED], "text string, allowed boolean, by_prefix boolean")
 
 
-@query()
+@query("SELECT o_orderkey::DOUBLE AS key, round(o_totalprice, 2) AS price, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus END AS status FROM orders")
 def csv_ingest_cases(spark: SparkSession, folder: str) -> DataFrame:
     """Orders written as a messy CSV folder and read back."""
     orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias(" key "), F.format_number("o_totalprice", 2).alias("price"), F.when(F.col("o_orderkey") % 5 == 0, "NA").otherwise(F.col("o_orderstatus")).alias("status"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp()
     path = f"{base.rstrip('/')}/csv-{spark.sparkContext.applicationId}"
     orders.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
     name = [f for f in spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).select("path").limit(1).collect()][0].path
     return csv_ingest.read_csv(spark, name)
 
 
-@query()
+_ASKED = [
+    ("What is the average l_extendedprice?", "summary", ["l_extendedprice"]), ("describe the data", "describe", []), ("average l_extendedprice by l_quantity", "summary", ["l_quantity"]),
+    ("l_extendedprice by l_quantity", "grouped", ["l_quantity", "l_quantity"]), ("l_quantity by l_discount", "grouped", ["l_quantity", "l_discount"]), ("compare l_tax by l_quantity", "grouped", ["l_quantity", "l_quantity"]),
+    ("show by l_returnflag", "grouped", ["median_income", "l_returnflag"]), ("Histogram of l_discount", "histogram", ["l_discount"]), ("show the distribution", "histogram", ["l_orderkey"]),
+    ("correlation heatmap", "corr_matrix", [*LINEITEM]), ("relationship between l_tax and l_discount", "scatter", ["l_tax", "l_discount"]), ("compare quantity vs extendedprice", "scatter", ["l_quantity", "l_extendedprice"]),
+    ("correlation of demand for x", "scatter", ["l_orderkey", "l_partkey"]), ("compare prices", "profile", []), ("trend of l_tax", "trend", ["l_tax"]), ("l_tax over time by month", "grouped", ["l_tax", "l_partkey"]),
+    ("monthly progression", "trend", ["l_orderkey"]), ("l_tax grouped by range of l_discount", "grouped", ["l_discount", "l_discount"]), ("administrator count", "describe", []), ("hello", "profile", []),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{k}', [" + ", ".join(f"'{c}'" for c in cols) + "]::VARCHAR[])" for a, k, cols in _ASKED) + ") t(question, kind, columns)")
 def intent_cases(spark: SparkSession, folder: str) -> DataFrame:
     """What questions about lineitem compile to."""
     lineitem = table(spark, folder, "lineitem")
-    asked = ["What is the average l_extendedprice?", "describe the data", "l_quantity by l_discount", "Histogram of l_discount", "correlation heatmap", "relationship between l_tax and l_discount", "trend of l_tax", "hello"]
-    plans: list[Intent] = [compile_question(a, lineitem) for a in asked]
-    return spark.createDataFrame([(a, p.kind, [*p.columns]) for a, p in zip(asked, plans, strict=True)], "question string, kind string, columns array<string>")
+    plans: list[Intent] = [compile_question(a, lineitem) for a, _, _ in _ASKED]
+    return spark.createDataFrame([(a, p.kind, [*p.columns]) for (a, _, _), p in zip(_ASKED, plans, strict=True)], "question string, kind string, columns array<string>")

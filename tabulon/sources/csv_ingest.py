@@ -24,7 +24,7 @@ BOOLS = {"True": 1.0, "False": 0.0}
 
 @dataclass(frozen=True)
 class Layout:
-    """How a file is read: found from its first HEAD_BYTES."""
+    """How a file is read: see layout()."""
 
     encoding: str
     delimiter: str
@@ -43,14 +43,13 @@ def head_bytes(spark: SparkSession, path: str, n: int = HEAD_BYTES) -> bytes:
         stream.close()
 
 
-def sniff_encoding(head: bytes) -> str:
-    """utf-8 if the head decodes (a character cut at its end aside), else latin1, which always does."""
-    try:
-        head.decode("utf-8")
-    except UnicodeDecodeError as e:
-        if e.start < len(head) - 3 or len(head) < HEAD_BYTES:
-            return "ISO-8859-1"
-    return "UTF-8"
+def whole_file(spark: SparkSession, path: str) -> tuple[bool, bool, bool]:
+    """Of all lines of a file, in one pass: whether some are no UTF-8, hold bytes that only Windows-1252 prints, or have an odd number of quotes."""
+    lines = spark.read.text(path).select("value", F.is_valid_utf8("value").alias("ok"), F.col("value").cast("binary").alias("raw"))
+    printed = F.hex("raw").rlike("^(..)*?[89][0-9A-F]")
+    odd = F.pmod(F.length("raw") - F.length(F.replace(F.decode("raw", "ISO-8859-1"), F.lit('"'), F.lit(""))), F.lit(2)) == 1
+    row = lines.agg(F.count_if(~F.col("ok")), F.count_if(~F.col("ok") & printed), F.count_if(odd)).first()
+    return row[0] > 0, row[1] > 0, row[2] > 0
 
 
 def sniff_delimiter(rows_by: dict[str, list[list[str]]]) -> str:
@@ -79,9 +78,14 @@ def column_names(header: list[str]) -> list[str]:
 
 
 def layout(spark: SparkSession, path: str, compat: bool = False, delimiter: str | None = None) -> Layout | None:
-    """Layout of a file; None if it has no header or no row. compat: comma is taken whatever the file holds."""
+    """Layout of a file; None if it has no header or no row. compat: comma is taken whatever the file holds.
+
+    The whole file decides the encoding (UTF-8 if all of it is, Windows-1252 if its control bytes 80 to 9F are in use, else latin1) and whether
+    quoted fields span lines; such a file is read by one task, as a line break no longer ends a row. Its first bytes decide the rest.
+    """
     head = head_bytes(spark, path)
-    encoding = sniff_encoding(head)
+    foreign, windows, multiline = whole_file(spark, path)
+    encoding = "UTF-8" if not foreign else "windows-1252" if windows else "ISO-8859-1"
     text = head.decode(encoding, errors="ignore").removeprefix("﻿")
     if len(head) == HEAD_BYTES:
         text = text[: text.rfind("\n") + 1] or text
@@ -92,16 +96,20 @@ def layout(spark: SparkSession, path: str, compat: bool = False, delimiter: str
         return None
     width = len(rows[0])
     leading = all(len(r) == width + 1 for r in rows[1:])
-    lines = sum(1 for x in text.splitlines() if x.strip())
-    return Layout(encoding, d, tuple(column_names(rows[0])), leading, lines != len(rows))
+    return Layout(encoding, d, tuple(column_names(rows[0])), leading, multiline)
 
 
 def read_raw(spark: SparkSession, path: str, how: Layout) -> DataFrame:
     """All cells as strings, with __raw: the text of rows whose width is not the header's, else null."""
     fields = ["__index", *how.names] if how.leading_index else [*how.names]
     schema = T.StructType([*(T.StructField(f"c{i}", T.StringType()) for i in range(len(fields))), T.StructField("__raw", T.StringType())])
-    reader = spark.read.schema(schema).options(header=True, sep=how.delimiter, encoding=how.encoding, multiLine=how.multiline, mode="PERMISSIVE", columnNameOfCorruptRecord="__raw", quote='"', escape='"', enforceSchema=True, columnPruning=False, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    return reader.csv(path)
+    windows = how.encoding == "windows-1252"  # which the reader does not know: read as latin1, then the characters that differ
+    reader = spark.read.schema(schema).options(header=True, sep=how.delimiter, encoding="ISO-8859-1" if windows else how.encoding, multiLine=how.multiline, mode="PERMISSIVE", columnNameOfCorruptRecord="__raw", quote='"', escape='"', enforceSchema=True, columnPruning=False, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    raw = reader.csv(path)
+    if not windows:
+        return raw
+    same = {c: bytes([c]).decode("windows-1252", errors="ignore") for c in range(0x80, 0xA0)}
+    return raw.select(*[F.translate(c, "".join(chr(k) for k, v in same.items() if v), "".join(same.values())).alias(c) for c in raw.columns])
 
 
 def _too_long(raw: Column, width: int, delimiter: str) -> Column:

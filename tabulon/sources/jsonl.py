@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ def until_done(events: Iterable[dict]) -> Iterator[dict]:
 def reassemble(packets: Iterable[bytes]) -> Iterator[dict]:
     """Objects from packets in order, a line cut between packets put together; bad lines are left out."""
     rest = b""
-    for p in [*packets, b"\n"]:
+    for p in chain(packets, [b"\n"]):
         *lines, rest = (rest + p).split(b"\n")
         for line in lines:
             try:

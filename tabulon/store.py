@@ -32,6 +32,7 @@ class Store:
         return f"{self.root.rstrip('/')}/{name}"
 
     def _read(self, name: str, schema: str) -> DataFrame:
+        self._restore(name)
         try:
             return self.spark.read.schema(schema).parquet(self._path(name))
         except Exception as e:
@@ -108,14 +109,30 @@ class Store:
         return last.select("session_id", F.substring("prompt", 1, 20).alias("title"), F.col("timestamp").alias("last")).orderBy(F.desc("last"), "session_id")
 
     def forget(self, user_id: int) -> None:
-        """Delete a user's turns: the others are written to a new folder that then takes the old one's place."""
-        rest = self._read("turns", TURN).where(F.col("user_id") != user_id)
-        new = self._path(f"turns-{uuid.uuid4().hex}")
+        """Delete a user's turns; those of a null user stay.
+
+        The others are written to a new folder. The old one is kept under another name until the new one stands in its place, and _restore puts
+        it back after a crash in between.
+        """
+        self._restore("turns")
+        rest = self._read("turns", TURN).where(~F.col("user_id").eqNullSafe(F.lit(user_id)))
+        p, fs = self._files()
+        new, old = self._path(f"turns-{uuid.uuid4().hex}"), self._path("turns-before")
         rest.write.parquet(new)
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        fs = p(new).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        fs.delete(p(self._path("turns")), True)
+        if fs.exists(p(self._path("turns"))):
+            fs.rename(p(self._path("turns")), p(old))
         fs.rename(p(new), p(self._path("turns")))
+        fs.delete(p(old), True)
+
+    def _files(self):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        return p, p(self.root).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _restore(self, name: str) -> None:
+        """If a crash left only the folder kept from before a change, take it back."""
+        p, fs = self._files()
+        if not fs.exists(p(self._path(name))) and fs.exists(p(self._path(f"{name}-before"))):
+            fs.rename(p(self._path(f"{name}-before")), p(self._path(name)))
 
 
 def jsonl(df: DataFrame) -> DataFrame:

@@ -124,3 +124,16 @@ def test_store(spark, tmp_path):
     store.forget(1)
     assert store.history(1, "s0").count() == 0 and store.history(2, "s0").count() == 1
     assert to_lines(spark.range(1)).first().value == '{"id":0}'
+
+
+def test_whole_file_decides(spark, tmp_path):
+    """A quoted line break, a latin1 byte or a Windows-1252 byte behind the first megabyte."""
+    body = "".join(f"{i},text number {i}\n" for i in range(70_000))
+    assert len(body) > 1_300_000
+    df = read(spark, tmp_path, "k,x\n" + body + '70000,"two\nlines"\n70001,last\n')
+    assert dict(df.dtypes) == {"k": "double", "x": "string"} and df.count() == 70_002
+    assert {r.x for r in df.where("k >= 70000").collect()} == {"two\nlines", "last"}
+    df = read(spark, tmp_path, ("k,x\n" + body).encode() + b"70000,caf\xe9\n")
+    assert df.where("k = 70000").first().x == "caf\u00e9" and df.count() == 70_001
+    df = read(spark, tmp_path, ("k,x\n" + body).encode() + b"70000,5 \x80 caf\xe9\n")
+    assert df.where("k = 70000").first().x == "5 \u20ac caf\u00e9"
