@@ -22,6 +22,9 @@ SIMILARITY = 0.8
 #: An odd base of polynomial hashes, the words hashed at once, and the bytes of a word from which xxhash takes it.
 BASE, CHUNK, HUGE = 0x9FB21C651E98DF25, 1 << 15, 1 << 12
 _WORD = re.compile(r"\w+")
+#: What plain() makes of each byte of UTF-8, and what else parts words.
+_BYTES = bytes(i if i > 127 else ord(chr(i).lower()) if _WORD.match(chr(i)) else 10 for i in range(256))
+_PARTING = re.compile(r"[^\w\x00-\x7f]+")
 _powers = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
 _written: list[tuple[SparkSession, str]] = []
 
@@ -103,7 +106,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def plain(text: str | None) -> str:
     """Runs of letters, digits and underscores of the text as it is, each lower-cased, one a line."""
-    return "\n".join(_WORD.findall(text)).lower() if text else ""
+    if not text:
+        return ""
+    ascii_ = text.isascii()
+    raw = (text if ascii_ else _PARTING.sub("\n", text)).encode().translate(_BYTES)
+    while b"\n\n" in raw:
+        raw = raw.replace(b"\n\n", b"\n")
+    found = raw.strip(b"\n").decode()
+    return found if ascii_ else found.lower()
 
 
 def words_of(text: str | None) -> list[str]:
