@@ -1,6 +1,7 @@
 """Near duplicates, repeated passages, embeddings and components against brute force."""
 
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -425,3 +426,13 @@ def test_pipeline_odd_rows(spark, tmp_path):
     empty = spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0)
     for _, stage in p.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_words_by_bytes_are_those_of_the_pattern():
+    odd = ["", "a", "İß", "ΑΣ. ΑΣ", "x́y", "  _9", "  \n\n", "\x00a\x1cb", "日本 語", "１２-Ⅷ"]
+    for c in [chr(i) for i in (*range(0x3000), 0x1F600, 0x10400)]:
+        for text in (c, f"A{c}Σ{c}{c}b"):
+            assert plain(text) == "\n".join(re.findall(r"\w+", text)).lower()
+    for text in odd:
+        assert plain(text) == "\n".join(re.findall(r"\w+", text)).lower()
+        assert len(words_of(text)) == len(word_spans(text))
