@@ -7,15 +7,21 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import BASE, SHINGLE_WORDS, SIMILARITY, arrow_rows, cut, drop_cut, mix64, pieces, plain, run_hashes, shingles_of, word_hashes, word_spans
 
 MIN_WORDS, FUNCTIONS, GAP = 50, 3, 12
-#: Second keys of a place whose first key many hold: runs of so many words, so many of them before the place.
-RUNS = [(MIN_WORDS, back) for back in range(0, 46, 15)] + [(MIN_WORDS // 2, back) for back in range(0, 22, 10)]
+#: From a passage's first shingle to its last one at least, and how far around a place in it these may lie.
+STEP, REACH = MIN_WORDS - SHINGLE_WORDS, MIN_WORDS + GAP
+#: Words that the longest equal run of a passage has at least: one with k edits shares 36 k shingles or more, and MIN_WORDS words have one edit.
+RUN = MIN_WORDS // 2
+#: Words by which two such passages of STEP shingles and more may differ in length between their ends.
+DRIFT = 3
+#: The least shared shingles of a passage, or of the part of STEP + 1 shingles of a longer one that has the most.
+LEAST = int(SIMILARITY * (STEP + 1))
 #: Windows are over runs of fewer words than the shingles that similarity counts, so that an edit hits fewer of them.
 KEY_WORDS = 4
 #: Such runs in a passage of MIN_WORDS words; a window's place takes 6 bits each for what lies before and behind it.
@@ -154,9 +160,8 @@ def _cell_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(flat):
             continue
         text = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(w.offsets)))
-        for t, key, c, c2, owner, more in cells(text, np.asarray(flat.field("key")).view(np.uint64), np.asarray(flat.field("at"))):
-            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(len(t) + 1)), pa.int32()), pa.array(more.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("tid").take(pa.array(t)), pa.array(key.view(np.int64)), pa.array(c << 32 | c2), lists], names=["tid", "key", "at", "more"])
+        for t, key, c, c2, *_ in cells(text, np.asarray(flat.field("key")).view(np.uint64), np.asarray(flat.field("at"))):
+            yield pa.RecordBatch.from_arrays([b.column("tid").take(pa.array(t)), pa.array(key.view(np.int64)), pa.array(c << 32 | c2)], names=["tid", "key", "at"])
 
 
 Sorted = tuple[np.ndarray, np.ndarray, np.ndarray]
@@ -336,12 +341,11 @@ def first_holders(rows: DataFrame) -> DataFrame:
     return cut(own.groupBy("key", "e", "n").agg(F.min("at").alias("place")))
 
 
-def hub_pairs(rows: DataFrame, hubs: DataFrame) -> DataFrame:
-    """(d, e, shifts, cells): texts d paired with the first text e that holds one of their keys; e with itself for its later places.
+def hub_pairs(far: DataFrame) -> DataFrame:
+    """(d, e, shifts, cells): texts d paired with texts e that have a key of theirs at `place`; a text with itself for its other places.
 
     shifts: how far the places lie apart. cells: key and place in d, one after the other, where more than two rows have the key.
     """
-    far = rows.select("tid", "key", "at").join(hubs.hint("shuffle_hash"), "key")
     high, low = (lambda c: F.shiftright(c, 32)), (lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)))
     far = far.where((F.col("tid") != F.col("e")) | ((high("at") != high("place")) & (low("at") != low("place"))))
     apart = [F.collect_set((x("at") - x("place")).cast("int")) for x in (high, low)]
@@ -365,34 +369,93 @@ def with_new_shifts(more: DataFrame, pairs: DataFrame) -> DataFrame:
     return new.select("d", "e", F.array_union("shifts", "had").alias("shifts"), F.slice("cells", 1, 0).alias("cells"))
 
 
-def _wide_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keys of exact runs of words around given places in plain() texts; see RUNS."""
+def _near_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingles and runs of RUN words of plain() texts that a passage over one of the given places may have; at: place and kind (1: run)."""
     for b in pieces(batches, "text"):
-        keys, places, size = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
-        for t, at in zip(b.column("text"), b.column("places"), strict=True):
-            h, c = word_hashes([t.as_py()])[0], np.array(sorted(at.as_py()), np.int64)
-            start = np.concatenate([c - back for _, back in RUNS])
-            end = start + np.repeat([n for n, _ in RUNS], len(c))
-            kind, ok = np.repeat(np.arange(len(RUNS), dtype=np.uint64), len(c)), (start >= 0) & (end <= len(h))
-            keys.append(run_hashes(h, start[ok], end[ok]) ^ kind[ok])
-            places.append(np.tile(c, len(RUNS))[ok])
-            size.append(int(ok.sum()))
-        own, c = pa.array(np.repeat(np.arange(b.num_rows), size)), np.concatenate(places)
-        yield pa.RecordBatch.from_arrays([b.column("tid").take(own), pa.array(np.concatenate(keys).view(np.int64)), pa.array(c << 32 | c)], names=["tid", "key", "at"])
-
-
-def narrower(rows: DataFrame, hubs: DataFrame, opened: DataFrame, texts: DataFrame) -> DataFrame:
-    """(tid, key, at): second keys of all rows of a key that an open cell and more than two rows have.
-
-    One kind joins the cell's two minima with that of a third function in the same passages, so that three must
-    agree; the others are the exact runs of RUNS.
+        keys, at, size = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
+        for t, places in zip(b.column("text"), b.column("places"), strict=True):
+            h, c = word_hashes([t.as_py()])[0], np.array(places.as_py(), np.int64)
+            s, near = shingles_of(h), np.zeros(len(h) + 1, np.int64)
+            np.add.at(near, np.maximum(c - REACH, 0), 1)
+            np.add.at(near, np.minimum(c + REACH, len(h)), -1)
+            i = np.flatnonzero(np.cumsum(near)[:-1])
+            x, y = i[i < len(s)], i[i + RUN <= len(h)]
+            keys += [s[x], run_hashes(h, y, y + RUN)]
+            at += [x << 1, y << 1 | 1]
+            size.append(len(x) + len(y))
+        own = pa.array(np.repeat(np.arange(b.num_rows), size))
+        yield pa.RecordBatch.from_arrays([b.column("tid").take(own), pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(at))], names=["tid", "key", "at"])
+
+
+def stretches(spot: np.ndarray, key: np.ndarray, here: np.ndarray, behind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, first key) of stretches of sorted places whose keys have all their places in common: `here` names a key's places, `behind` the next ones."""
+    new = np.flatnonzero(np.r_[True, (np.diff(spot) != 1) | (here[1:] != behind[:-1])][: len(spot)])
+    return spot[new], spot[np.r_[new[1:], len(spot)][: len(new)] - 1], key[new]
+
+
+def ends_of(text: np.ndarray, key: np.ndarray, at: np.ndarray, here: np.ndarray, behind: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, key, a, b, first, last) of all two stretches, from a and b on, in which a passage may begin and end, one with a run of RUN words; key names the two.
+
+    Given are the rows of _near_rows whose keys other places have. Such passages lie from first to last, their end shingles STEP to STEP + DRIFT apart.
+    """
+    span = (int(at.max(initial=0)) >> 1) + REACH + RUN
+    spot, kind = text * span + (at >> 1), at & 1
+    order = np.argsort(spot)
+    x, y = (tuple(v[order[kind[order] == k]] for v in (spot, key, here, behind)) for k in (0, 1))
+    short, long, inner, out = stretches(*x), stretches(*y), RUN - SHINGLE_WORDS, []
+    for (start, end, name), (start2, end2, name2), less in ((long, short, 0), (short, long, inner)):
+        near, far = STEP - less, STEP + DRIFT - less
+        lo, hi = np.searchsorted(end2, start + near), np.searchsorted(start2, end + far, "right")
+        n = np.maximum(hi - lo, 0)
+        a = np.repeat(np.arange(len(start)), n)
+        b = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+        first, last = np.maximum(start[a], start2[b] - far), np.minimum(end2[b], end[a] + far) + less
+        some = np.searchsorted(x[0], last, "right") - np.searchsorted(x[0], first) >= LEAST
+        a, b, first, last = a[some], b[some], first[some], last[some]
+        t = start[a] // span
+        out.append((t, mix64(name[a] * np.uint64(BASE) + name2[b]), *(v - t * span for v in (start[a], start2[b], first, last))))
+    return tuple(map(np.concatenate, zip(*out, strict=True)))
+
+
+_ENDS = "tid long, key long, at long, first int, last int"
+
+
+def _end_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        s = b.column("s")
+        flat = s.flatten()
+        if not len(flat):
+            continue
+        text = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(s.offsets)))
+        t, key, i, j, first, last = ends_of(text, np.asarray(flat.field("key")).view(np.uint64), *(np.asarray(flat.field(c)) for c in ("at", "here", "behind")))
+        cols = [b.column("tid").take(pa.array(t)), pa.array(key.view(np.int64)), pa.array(i << 32 | j), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))]
+        yield pa.RecordBatch.from_arrays(cols, names=["tid", "key", "at", "first", "last"])
+
+
+def passage_ends(rows: DataFrame, hubs: DataFrame, opened: DataFrame, texts: DataFrame) -> DataFrame:
+    """(tid, key, at, first, last): where passages may begin and end around all rows of a key that an open cell and more than two rows have.
+
+    Whatever is alike shares the two ends and a run of RUN words at one of them, so texts of one such key have all pairs that can be missing.
     """
     many = cut(opened.distinct().join(hubs.where("n > 2").select("key"), "key", "left_semi"))
-    again = rows.join(many.hint("shuffle_hash"), "key")
-    three = again.select("tid", "key", "at", F.explode("more").alias("third")).select("tid", F.xxhash64("key", "third").alias("key"), "at")
-    places = again.groupBy("tid").agg(F.collect_set(F.shiftright("at", 32)).alias("places"))
-    wide = places.join(texts, "tid").mapInArrow(_wide_rows, "tid long, key long, at long")
-    return cut(three.union(wide))
+    places = rows.join(many.hint("shuffle_hash"), "key").groupBy("tid").agg(F.collect_set(F.shiftright("at", 32)).alias("places"))
+    near = cut(places.join(texts, "tid").mapInArrow(_near_rows, "tid long, key long, at long"))
+    named = [F.bit_xor(F.xxhash64("tid", F.col("at") + more)).alias(c) for c, more in (("here", 0), ("behind", 2))]
+    shared = near.groupBy("key").agg(F.count("*").alias("n"), *named).where("n > 1").drop("n")
+    by_text = near.join(shared.hint("shuffle_hash"), "key").groupBy("tid").agg(F.collect_list(F.struct("key", "at", "here", "behind")).alias("s"))
+    with arrow_rows(texts.sparkSession, 1000):
+        ends = cut(by_text.mapInArrow(_end_rows, _ENDS))
+    for done in (many, near):
+        drop_cut(done)
+    return ends
+
+
+def uncovered(ends: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of passage_ends that lie in no passage found of their text."""
+    spans = found.where("key is null").groupBy(F.col("d").alias("tid"), F.col("start").alias("first")).agg(F.max("end").alias("end"))
+    both = ends.withColumn("end", F.lit(0)).unionByName(spans, allowMissingColumns=True)
+    so_far = F.max("end").over(Window.partitionBy("tid").orderBy("first"))  # of passages that begin there or before
+    return both.withColumn("end", so_far).where(F.col("key").isNotNull() & (F.col("end") < F.col("last") + SHINGLE_WORDS)).drop("end")
 
 
 def merged(spans: DataFrame, by: str) -> DataFrame:
@@ -435,9 +498,9 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     Cartesian trees of all whole texts give compact windows for FUNCTIONS hash functions. Of those whose minimum
     another window has too, an interval join in each text finds its cells: passages with the minima of two functions.
     All cells of one key are paired with the first only, so a group of g gives g pairs; the pair's
-    cells are verified together. Keys with a cell that this leaves unexplained, as texts may share
-    more with each other than with the first, give way to narrower ones (see narrower), paired once more.
-    A pair that this gives new diagonals is verified again, with the seeds of both rounds. Copies of a text share its work.
+    cells are verified together. Where a key has a cell that this leaves unexplained, as texts may share
+    more with each other than with the first, its texts are paired once more with the first
+    that shares both ends of a passage there (passage_ends), where no passage covers these yet. A pair that this gives new diagonals is verified again, with all its seeds. Copies of a text share its work.
     """
     src = docs.select(row_key(doc_id).alias("id"), F.col(text).alias("text")).where("text is not null").withColumn("d", text_key("text"))
     every = cut(src.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(_window_rows, "rid long, id long, d binary, key long, at long"))
@@ -449,17 +512,22 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     by_text = windows.join(shared.hint("shuffle_hash"), "key").groupBy("rid").agg(F.collect_list(F.struct("key", "at")).alias("w"))
     made = by_text.join(owners.select("rid", "tid"), "rid").select("tid", "w")
     with arrow_rows(docs.sparkSession, 1000):  # rows hold all windows of a text
-        rows = cut(made.mapInArrow(_cell_rows, "tid long, key long, at long, more array<long>"))
+        rows = cut(made.mapInArrow(_cell_rows, "tid long, key long, at long"))
     drop_cut(every)
+    drop_cut(shared)
     hubs = first_holders(rows)
-    pairs = hub_pairs(rows, hubs)
+    pairs = hub_pairs(rows.select("tid", "key", "at").join(hubs.hint("shuffle_hash"), "key"))
     used = cut(owners.join(pairs.select(F.explode(F.array("d", "e")).alias("tid")).distinct(), "tid", "left_semi").select("tid", F.col("first_id").alias("id"), "d"))
     with arrow_rows(docs.sparkSession, 1000):
         texts = cut(src.join(used, ["id", "d"]).groupBy("tid").agg(F.first("text").alias("text")).mapInArrow(_plain_rows, "tid long, text string"))
     got = verified(pairs, texts)
-    more = narrower(rows, hubs, got.where("key is not null").select("key"), texts)
-    more = cut(with_new_shifts(hub_pairs(more, first_holders(more)), pairs))
+    ends = passage_ends(rows, hubs, got.where("key is not null").select("key"), texts)
+    firsts = first_holders(ends)
+    again = hub_pairs(uncovered(ends, got).select("tid", "key", "at").join(firsts.hint("shuffle_hash"), "key"))
+    more = cut(with_new_shifts(again, pairs))
     found = got.union(verified(more, texts)).where("key is null").drop("key")
+    for done in (rows, hubs, pairs, used, texts, ends, firsts, again, more):
+        drop_cut(done)
 
     by_source = found.join(owners.select(F.col("tid").alias("e"), F.col("first_id").alias("source")), "e")
     later = merged(by_source.select(F.col("d").alias("tid"), "start", "end", "source"), "tid").select("tid", F.lit("later").alias("role"), F.explode("s").alias("x"))

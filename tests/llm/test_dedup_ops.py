@@ -318,6 +318,25 @@ def test_passage_beyond_an_explained_text(spark):
     assert later == {i for i, _ in rows if i % 3}
 
 
+@pytest.mark.parametrize("n", [40, 49])
+def test_edited_passages_behind_a_longer_line(spark, n):
+    """Passages of 50 to 60 words, one in two with a word changed or put in, whose first n words are a line of a hundred texts before them."""
+    rnd = random.Random(77)
+    line = words(rnd, n)
+    rows = [(i, " ".join(words(rnd, 60) + line + words(rnd, 60))) for i in range(100)]
+    for k in range(40):
+        p = line + words(rnd, (50, 52, 55, 60)[k % 4] - n)
+        e, at = [*p], rnd.randrange(5, len(p) - 5)
+        if k // 4 % 2:
+            e[at : at + k // 8 % 2] = ["new"]
+        assert alike(p, e) >= 0.8
+        rows += [(1000 + 2 * k + j, " ".join(words(rnd, rnd.randrange(20, 90)) + b + words(rnd, rnd.randrange(20, 90)))) for j, b in enumerate((p, e))]
+    later = {r.doc_id for r in sub.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.role == "later"}
+    wanted = {1001 + 2 * k for k in range(40)}
+    print(n, len(wanted - later))
+    assert len(wanted & later) >= 0.95 * len(wanted)
+
+
 # --- embeddings
 
 
