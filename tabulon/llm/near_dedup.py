@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SIMILARITY, arrow_rows, components, cut, mix64, pieces, plain, shingles_of, word_hashes
+from .common import SIMILARITY, arrow_rows, components, cut, drop_cut, mix64, pieces, plain, shingles_of, word_hashes
 from .decontaminate import content_key
 
 SKETCHES, KMERS = 16, 3
@@ -172,6 +172,8 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: f
     spread = cut(classes.select("key", F.posexplode("sketches").alias("i", "sig")).select("key", F.xxhash64("i", "sig").alias("sig")))
     sizes = cut(spread.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1"))
     shared = cut(spread.join(sizes, "sig"))
+    drop_cut(spread)
+    drop_cut(sizes)
     central = shared.groupBy("key").agg(F.sum("size").alias("met"))  # the more others meet it, the nearer it is to all
     part = F.pmod(F.hash("key"), F.lit(HUBS)).alias("part")
     best = shared.join(central, "key").groupBy("sig", part).agg(F.max(F.struct("met", "key")).alias("b"))  # a maximum is partly made before the shuffle
@@ -195,6 +197,8 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: f
     many = spot.select("sig", "key", "comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"), F.pmod(F.hash("key"), "wide").alias("y"), F.lit(False).alias("few"))
     more = few.unionByName(many).join(words, "key").groupBy("sig", "x", "y").applyInPandas(_compare(least), "a binary, b binary")
     comps = components(links.union(cut(more.distinct())))
+    for done in (shared, hubs, pairs, words, rest):
+        drop_cut(done)
 
     info = classes.drop("sketches").join(comps, F.col("key") == F.col("node"), "left").select("key", "first", "n", F.coalesce("component", "key").alias("component"))
     best = info.groupBy("component").agg(F.min("first").alias("first"), F.sum("n").alias("group_rows"))
