@@ -7,7 +7,8 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -209,10 +210,13 @@ def equal_runs(a: np.ndarray, other: Sorted, shifts: np.ndarray, same: bool, eno
     told, out = np.zeros(len(a), bool), [np.zeros((0, 3), np.int64)]
 
     def put(i: np.ndarray, d: np.ndarray) -> None:
+        if not len(i):
+            return
         by = np.lexsort((i, d))
         i, d = i[by], d[by]
-        new = (np.diff(d, prepend=d[:1] - 1) != 0) | (np.diff(i, prepend=-9) != 1)
-        out.append(np.stack([i[new], i[np.r_[new[1:], True][: len(new)]] + 1, d[new]], 1))
+        new = np.ones(len(i) + 1, bool)
+        new[1:-1] = (d[1:] != d[:-1]) | (i[1:] - i[:-1] != 1)
+        out.append(np.stack([i[new[:-1]], i[new[1:]] + 1, d[new[:-1]]], 1))
 
     if same and len(shifts) > FEW:  # a text full of repeats: each place and the one before it with the same shingle
         order, ranked = other[1:]
@@ -224,27 +228,34 @@ def equal_runs(a: np.ndarray, other: Sorted, shifts: np.ndarray, same: bool, eno
     if len(shifts) <= FEW:
         for d in shifts.tolist():
             x, y = max(0, d), min(len(a), len(other[0]) + d)
-            eq = a[x:y] == other[0][x - d : y - d] if y > x else told[:0]
-            told[x : max(x, y)] |= eq
-            ends = np.flatnonzero(np.diff(np.r_[False, eq, False])).reshape(-1, 2) + x
-            out.append(np.c_[ends, np.full(len(ends), d)])
+            if y <= x:
+                continue
+            eq = np.zeros(y - x + 2, bool)
+            np.equal(a[x:y], other[0][x - d : y - d], out=eq[1:-1])
+            told[x:y] |= eq[1:-1]
+            ends = np.flatnonzero(eq[1:] != eq[:-1])
+            run = np.full((len(ends) // 2, 3), d, np.int64)
+            run[:, :2] = ends.reshape(-1, 2) + x
+            out.append(run)
     else:
         for i, d in _meetings(a, np.flatnonzero(met), lo, other):
             at = np.searchsorted(shifts, d)
             good = shifts[np.minimum(at, len(shifts) - 1)] == d
             told[i[good]] = True
             put(i[good], d[good])
-    for i, d in _meetings(a, np.flatnonzero(met & ~told), lo, other):
+    rest = np.flatnonzero(met & ~told)
+    for i, d in _meetings(a, rest, lo, other) if len(rest) else ():
         at = np.searchsorted(shifts, d)
         far = np.minimum(np.abs(d - shifts[np.minimum(at, len(shifts) - 1)]), np.abs(d - shifts[np.maximum(at - 1, 0)]))
         good = (far <= GAP) & ((d > 0) | (not same))
         put(i[good], d[good])
     runs = np.concatenate(out)
     runs = np.unique(runs, axis=0) if same else runs
-    runs = runs[np.lexsort((runs[:, 0], runs[:, 2]))]
-    if len(runs):  # stretches that the parts cut
-        new = np.r_[True, (runs[1:, 2] != runs[:-1, 2]) | (runs[1:, 0] != runs[:-1, 1])]
-        runs = np.stack([runs[new, 0], runs[np.r_[new[1:], True], 1], runs[new, 2]], 1)
+    if len(runs) > 1:  # stretches that the parts cut
+        runs = runs[np.lexsort((runs[:, 0], runs[:, 2]))]
+        new = np.ones(len(runs) + 1, bool)
+        new[1:-1] = (runs[1:, 2] != runs[:-1, 2]) | (runs[1:, 0] != runs[:-1, 1])
+        runs = np.stack([runs[new[:-1], 0], runs[new[1:], 1], runs[new[:-1], 2]], 1)
     return sorted((x, y + SHINGLE_WORDS - 1, d) for x, y, d in runs.tolist())
 
 
@@ -255,10 +266,9 @@ def hopes(runs: list[tuple[int, int, int]], size: int, width: int, similar: floa
     A passage that begins with one run can only end with or behind another whose third value is not under the first's second.
     """
     start, end, _ = np.array(runs, np.int64).reshape(-1, 3).T
-    gain = np.zeros(size + 1, np.int64)
-    np.add.at(gain, start, 1)
-    np.add.at(gain, end - SHINGLE_WORDS + 1, -1)
-    over = np.r_[0, np.cumsum(np.cumsum(gain)[:-1] > 0)] - similar * np.arange(size + 1)
+    gain = np.bincount(start, minlength=size + 1) - np.bincount(end - SHINGLE_WORDS + 1, minlength=size + 1)
+    over = -similar * np.arange(size + 1)
+    over[1:] += np.cumsum(np.cumsum(gain)[:-1] > 0)
     best = np.maximum.accumulate(over[::-1])[::-1] + 1e-9
     may = (start + width <= size) & (best[np.minimum(start + width, size)] >= over[start])
     return may.tolist(), over[start].tolist(), best[end - SHINGLE_WORDS + 1].tolist()
@@ -275,6 +285,8 @@ def passages(a: np.ndarray, other: Sorted, shifts: np.ndarray, same: bool = Fals
     few = similar / (1 + similar) * 2 * (least - SHINGLE_WORDS + 1)  # that even the shortest passage shares
     runs = equal_runs(a, other, shifts, same, few - 1e-9)
     out: list[tuple[int, int, int, int]] = []
+    if not runs:
+        return out
     done, (hopeful, before, ahead) = 0, hopes(runs, len(a), least - SHINGLE_WORDS + 1, similar)
     for i, (start, end, shift) in enumerate(runs):
         if end <= done or not hopeful[i]:
@@ -323,7 +335,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = slice(offsets[i], offsets[i + 1])
             x, y = c[own], c2[own]
             open_ = np.ones(len(x), bool)
-            for p in passages(a, hub[1], np.unique(shift[spread[i] : spread[i + 1]]), d == e):
+            for p in passages(a, hub[1], np.sort(shift[spread[i] : spread[i + 1]]), d == e):
                 pair.append((d, e))
                 spans.append(p)
                 open_ &= (np.minimum(x, y) < p[0]) | (np.maximum(x, y) + KEY_WORDS > p[1])
@@ -355,8 +367,6 @@ def hub_pairs(far: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Passages of all pairs and the keys that lie in none; see _verify. texts are plain()."""
-    used = cut(pairs.select(F.explode(F.array("d", "e")).alias("tid")).distinct())
-    texts = texts.join(used, "tid", "left_semi")
     both = pairs.join(texts.withColumnRenamed("tid", "d"), "d").join(texts.select(F.col("tid").alias("e"), F.col("text").alias("other")), "e")
     with arrow_rows(texts.sparkSession, 500):
         return cut(both.select("d", "e", "text", "other", "shifts", "cells").mapInArrow(_verify, _FOUND))
@@ -417,47 +427,57 @@ def ends_of(text: np.ndarray, key: np.ndarray, at: np.ndarray, here: np.ndarray,
     return tuple(map(np.concatenate, zip(*out, strict=True)))
 
 
-_ENDS = "tid long, key long, at long, first int, last int"
+def covered(text: np.ndarray, first: np.ndarray, last: np.ndarray, by: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Whether text[first:last] lies in one of the spans (text, start, end) of `by`."""
+    span = max(int(x.max(initial=0)) for x in (first, last, *by[1:])) + 1
+    start = by[0] * span + by[1]
+    order = np.argsort(start)
+    reach = np.maximum.accumulate(np.r_[-1, (by[0] * span + by[2])[order]])  # of spans that begin there or before
+    return reach[np.searchsorted(start[order], text * span + first, "right")] >= text * span + last
 
 
 def _end_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ends_of that lie in no span of their text; of the others the first of each key in a batch, as it may be the key's first holder."""
     for b in batches:
-        s = b.column("s")
-        flat = s.flatten()
+        s, spans = b.column("s"), b.column("spans")
+        flat, found = s.flatten(), spans.flatten()
         if not len(flat):
             continue
-        text = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(s.offsets)))
+        text, own = (np.repeat(np.arange(b.num_rows), np.asarray(pc.fill_null(pc.list_value_length(x), 0))) for x in (s, spans))
         t, key, i, j, first, last = ends_of(text, np.asarray(flat.field("key")).view(np.uint64), *(np.asarray(flat.field(c)) for c in ("at", "here", "behind")))
-        cols = [b.column("tid").take(pa.array(t)), pa.array(key.view(np.int64)), pa.array(i << 32 | j), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))]
-        yield pa.RecordBatch.from_arrays(cols, names=["tid", "key", "at", "first", "last"])
+        at, tid = i << 32 | j, np.asarray(b.column("tid"))[t]
+        inside = covered(t, first, last + SHINGLE_WORDS, (own, *(np.asarray(found.field(c)).astype(np.int64) for c in ("start", "end"))))
+        order = np.lexsort((at, tid, key, ~inside))[: inside.sum()]
+        rows = np.r_[np.flatnonzero(~inside), order[np.r_[True, np.diff(key[order]) != 0][: len(order)]]]
+        yield pa.RecordBatch.from_arrays([pa.array(x[rows]) for x in (tid, key.view(np.int64), at, ~inside)], names=["tid", "key", "at", "open"])
 
 
-def passage_ends(rows: DataFrame, hubs: DataFrame, opened: DataFrame, texts: DataFrame) -> DataFrame:
-    """(tid, key, at, first, last): where passages may begin and end around all rows of a key that an open cell and more than two rows have.
-
-    Whatever is alike shares the two ends and a run of RUN words at one of them, so texts of one such key have all pairs that can be missing.
-    """
+def near_open(rows: DataFrame, hubs: DataFrame, opened: DataFrame, texts: DataFrame) -> DataFrame:
+    """_near_rows around all rows of a key that an open cell and more than two rows have."""
     many = cut(opened.distinct().join(hubs.where("n > 2").select("key"), "key", "left_semi"))
     places = rows.join(many.hint("shuffle_hash"), "key").groupBy("tid").agg(F.collect_set(F.shiftright("at", 32)).alias("places"))
     near = cut(places.join(texts, "tid").mapInArrow(_near_rows, "tid long, key long, at long"))
+    drop_cut(many)
+    return near
+
+
+def passage_ends(near: DataFrame, found: DataFrame) -> DataFrame:
+    """(tid, key, at, open): where passages may begin and end among the rows of near_open; open: they lie in no passage found of their text.
+
+    Whatever is alike shares the two ends and a run of RUN words at one of them, so texts of one such key have all pairs that can be missing.
+    Of ends that are not open only those are kept that can be the first holders of a key.
+    """
     named = [F.bit_xor(F.xxhash64("tid", F.col("at") + more)).alias(c) for c, more in (("here", 0), ("behind", 2))]
-    shared = near.groupBy("key").agg(F.count("*").alias("n"), *named).where("n > 1").drop("n")
+    shared = cut(near.groupBy("key").agg(F.count("*").alias("n"), *named).where("n > 1").drop("n"))
     by_text = near.join(shared.hint("shuffle_hash"), "key").groupBy("tid").agg(F.collect_list(F.struct("key", "at", "here", "behind")).alias("s"))
-    with arrow_rows(texts.sparkSession, 1000):
-        ends = cut(by_text.mapInArrow(_end_rows, _ENDS))
-    for done in (many, near):
-        drop_cut(done)
+    spans = found.where("key is null").groupBy(F.col("d").alias("tid"), "start").agg(F.max("end").alias("end"))
+    spans = spans.groupBy("tid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    with arrow_rows(near.sparkSession, 1000):
+        ends = cut(by_text.join(spans.hint("shuffle_hash"), "tid", "left").select("tid", "s", "spans").mapInArrow(_end_rows, "tid long, key long, at long, open boolean"))
+    drop_cut(shared)
     return ends
 
 
-def uncovered(ends: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows of passage_ends that lie in no passage found of their text."""
-    spans = found.where("key is null").groupBy(F.col("d").alias("tid"), F.col("start").alias("first")).agg(F.max("end").alias("end"))
-    both = ends.withColumn("end", F.lit(0)).unionByName(spans, allowMissingColumns=True)
-    so_far = F.max("end").over(Window.partitionBy("tid").orderBy("first"))  # of passages that begin there or before
-    return both.withColumn("end", so_far).where(F.col("key").isNotNull() & (F.col("end") < F.col("last") + SHINGLE_WORDS)).drop("end")
-
-
 def merged(spans: DataFrame, by: str) -> DataFrame:
     """Spans of one `by` that touch or overlap become one, with the least source of any.
 
@@ -519,14 +539,20 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     pairs = hub_pairs(rows.select("tid", "key", "at").join(hubs.hint("shuffle_hash"), "key"))
     used = cut(owners.join(pairs.select(F.explode(F.array("d", "e")).alias("tid")).distinct(), "tid", "left_semi").select("tid", F.col("first_id").alias("id"), "d"))
     with arrow_rows(docs.sparkSession, 1000):
-        texts = cut(src.join(used, ["id", "d"]).groupBy("tid").agg(F.first("text").alias("text")).mapInArrow(_plain_rows, "tid long, text string"))
+        own = src.join(used, ["id", "d"]).groupBy("id", "d").agg(F.first("tid").alias("tid"), F.first("text").alias("text"))  # by the keys of the join
+        texts = cut(own.select("tid", "text").mapInArrow(_plain_rows, "tid long, text string"))
     got = verified(pairs, texts)
-    ends = passage_ends(rows, hubs, got.where("key is not null").select("key"), texts)
+    near = near_open(rows, hubs, got.where("key is not null").select("key"), texts)
+    for done in (rows, hubs, used):
+        drop_cut(done)
+    ends = passage_ends(near, got)
+    drop_cut(near)
     firsts = first_holders(ends)
-    again = hub_pairs(uncovered(ends, got).select("tid", "key", "at").join(firsts.hint("shuffle_hash"), "key"))
+    again = hub_pairs(ends.where("open").select("tid", "key", "at").join(firsts.hint("shuffle_hash"), "key"))
     more = cut(with_new_shifts(again, pairs))
-    found = got.union(verified(more, texts)).where("key is null").drop("key")
-    for done in (rows, hubs, pairs, used, texts, ends, firsts, again, more):
+    few = cut(more.select(F.explode(F.array("d", "e")).alias("tid")).distinct())
+    found = got.union(verified(more, texts.join(few, "tid", "left_semi"))).where("key is null").drop("key")
+    for done in (pairs, texts, ends, firsts, again, more, few):
         drop_cut(done)
 
     by_source = found.join(owners.select(F.col("tid").alias("e"), F.col("first_id").alias("source")), "e")
