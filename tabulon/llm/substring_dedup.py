@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -27,6 +28,8 @@ LEAST = int(SIMILARITY * (STEP + 1))
 KEY_WORDS = 4
 #: Such runs in a passage of MIN_WORDS words; a window's place takes 6 bits each for what lies before and behind it.
 WIDTH = MIN_WORDS - KEY_WORDS + 1
+#: In so many parts, by text, the ends of passages are looked for one after the other, as their shuffle takes more disk than any other.
+PARTS = 4
 _SEEDS = mix64(np.arange(11, 11 + 8, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
@@ -154,6 +157,14 @@ def cells(text: np.ndarray, key: np.ndarray, at: np.ndarray) -> Iterator[tuple[n
         yield text[x], mix64(key[x] * np.uint64(BASE) + key[y]), c[x], c[y], owner[fresh], more[fresh]
 
 
+def least_places(text: np.ndarray, key: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """One row of each text and key: with the least place."""
+    order = np.lexsort((at, key, text))
+    out = np.zeros(len(order), bool)
+    out[order] = (np.diff(text[order], prepend=-1) != 0) | np.r_[True, np.diff(key[order]) != 0][: len(order)]
+    return out
+
+
 def _cell_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         w = b.column("w")
@@ -162,7 +173,8 @@ def _cell_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         text = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(w.offsets)))
         for t, key, c, c2, *_ in cells(text, np.asarray(flat.field("key")).view(np.uint64), np.asarray(flat.field("at"))):
-            yield pa.RecordBatch.from_arrays([b.column("tid").take(pa.array(t)), pa.array(key.view(np.int64)), pa.array(c << 32 | c2)], names=["tid", "key", "at"])
+            at = c << 32 | c2
+            yield pa.RecordBatch.from_arrays([b.column("tid").take(pa.array(t)), pa.array(key.view(np.int64)), pa.array(at), pa.array(least_places(t, key, at))], names=["tid", "key", "at", "first"])
 
 
 Sorted = tuple[np.ndarray, np.ndarray, np.ndarray]
@@ -347,10 +359,9 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def first_holders(rows: DataFrame) -> DataFrame:
-    """(key, e, n, place) of the keys that several rows have; e is the first text of them, place the first in it."""
-    firsts = rows.groupBy("key").agg(F.min("tid").alias("e"), F.count("*").alias("n")).where("n > 1")
-    own = rows.select("key", "tid", "at").join(firsts.hint("shuffle_hash"), "key").where("tid = e")
-    return cut(own.groupBy("key", "e", "n").agg(F.min("at").alias("place")))
+    """(key, e, n, place) of the keys that several rows have; e is the first text of them, place the first in it: that of its row with `first`."""
+    place = F.min_by("at", F.when(F.col("first"), F.col("tid"))).alias("place")
+    return cut(rows.groupBy("key").agg(F.min("tid").alias("e"), F.count("*").alias("n"), place).where("n > 1"))
 
 
 def hub_pairs(far: DataFrame) -> DataFrame:
@@ -379,22 +390,31 @@ def with_new_shifts(more: DataFrame, pairs: DataFrame) -> DataFrame:
     return new.select("d", "e", F.array_union("shifts", "had").alias("shifts"), F.slice("cells", 1, 0).alias("cells"))
 
 
+def near_rows(h: np.ndarray, sizes: np.ndarray, text: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, key, at) of the shingles and runs of RUN words that a passage over one of the given places of texts may have; at: place and kind (1: run).
+
+    The word hashes of the texts stand one after the other, as in window_keys.
+    """
+    ends = np.cumsum(sizes)
+    base = ends - sizes
+    c, near = places + base[text], np.zeros(len(h) + 1, np.int64)
+    np.add.at(near, np.maximum(c - REACH, base[text]), 1)
+    np.add.at(near, np.minimum(c + REACH, ends[text]), -1)
+    i = np.flatnonzero(np.cumsum(near)[:-1])
+    own = np.searchsorted(ends, i, "right")
+    short, long = i + SHINGLE_WORDS <= ends[own], i + RUN <= ends[own]
+    x, y = i[short], i[long]
+    keys = [shingles_of(h)[x], run_hashes(h, y, y + RUN)]
+    at = [(i - base[own])[short] << 1, (i - base[own])[long] << 1 | 1]
+    return np.r_[own[short], own[long]], np.concatenate(keys), np.concatenate(at)
+
+
 def _near_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles and runs of RUN words of plain() texts that a passage over one of the given places may have; at: place and kind (1: run)."""
-    for b in pieces(batches, "text"):
-        keys, at, size = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
-        for t, places in zip(b.column("text"), b.column("places"), strict=True):
-            h, c = word_hashes([t.as_py()])[0], np.array(places.as_py(), np.int64)
-            s, near = shingles_of(h), np.zeros(len(h) + 1, np.int64)
-            np.add.at(near, np.maximum(c - REACH, 0), 1)
-            np.add.at(near, np.minimum(c + REACH, len(h)), -1)
-            i = np.flatnonzero(np.cumsum(near)[:-1])
-            x, y = i[i < len(s)], i[i + RUN <= len(h)]
-            keys += [s[x], run_hashes(h, y, y + RUN)]
-            at += [x << 1, y << 1 | 1]
-            size.append(len(x) + len(y))
-        own = pa.array(np.repeat(np.arange(b.num_rows), size))
-        yield pa.RecordBatch.from_arrays([b.column("tid").take(own), pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(at))], names=["tid", "key", "at"])
+    for b in pieces(batches, "text", 1 << 20):
+        h, sizes = word_hashes([t.as_py() for t in b.column("text")])
+        places = b.column("places")
+        text, key, at = near_rows(h, sizes, np.repeat(np.arange(b.num_rows), np.diff(np.asarray(places.offsets))), np.asarray(places.flatten()).astype(np.int64))
+        yield pa.RecordBatch.from_arrays([b.column("tid").take(pa.array(text)), pa.array(key.view(np.int64)), pa.array(at)], names=["tid", "key", "at"])
 
 
 def stretches(spot: np.ndarray, key: np.ndarray, here: np.ndarray, behind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -449,7 +469,8 @@ def _end_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inside = covered(t, first, last + SHINGLE_WORDS, (own, *(np.asarray(found.field(c)).astype(np.int64) for c in ("start", "end"))))
         order = np.lexsort((at, tid, key, ~inside))[: inside.sum()]
         rows = np.r_[np.flatnonzero(~inside), order[np.r_[True, np.diff(key[order]) != 0][: len(order)]]]
-        yield pa.RecordBatch.from_arrays([pa.array(x[rows]) for x in (tid, key.view(np.int64), at, ~inside)], names=["tid", "key", "at", "open"])
+        first = least_places(t[rows], key[rows], at[rows])
+        yield pa.RecordBatch.from_arrays([*(pa.array(x[rows]) for x in (tid, key.view(np.int64), at, ~inside)), pa.array(first)], names=["tid", "key", "at", "open", "first"])
 
 
 def near_open(rows: DataFrame, hubs: DataFrame, opened: DataFrame, texts: DataFrame) -> DataFrame:
@@ -461,21 +482,24 @@ def near_open(rows: DataFrame, hubs: DataFrame, opened: DataFrame, texts: DataFr
     return near
 
 
-def passage_ends(near: DataFrame, found: DataFrame) -> DataFrame:
-    """(tid, key, at, open): where passages may begin and end among the rows of near_open; open: they lie in no passage found of their text.
+def passage_ends(near: DataFrame, found: DataFrame) -> list[DataFrame]:
+    """(tid, key, at, open, first) in PARTS tables: where passages may begin and end among the rows of near_open; open: they lie in no passage found of their text.
 
     Whatever is alike shares the two ends and a run of RUN words at one of them, so texts of one such key have all pairs that can be missing.
     Of ends that are not open only those are kept that can be the first holders of a key.
     """
     named = [F.bit_xor(F.xxhash64("tid", F.col("at") + more)).alias(c) for c, more in (("here", 0), ("behind", 2))]
     shared = cut(near.groupBy("key").agg(F.count("*").alias("n"), *named).where("n > 1").drop("n"))
-    by_text = near.join(shared.hint("shuffle_hash"), "key").groupBy("tid").agg(F.collect_list(F.struct("key", "at", "here", "behind")).alias("s"))
     spans = found.where("key is null").groupBy(F.col("d").alias("tid"), "start").agg(F.max("end").alias("end"))
-    spans = spans.groupBy("tid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    with arrow_rows(near.sparkSession, 1000):
-        ends = cut(by_text.join(spans.hint("shuffle_hash"), "tid", "left").select("tid", "s", "spans").mapInArrow(_end_rows, "tid long, key long, at long, open boolean"))
+    spans = cut(spans.groupBy("tid").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
+    parts = []
+    for i in range(PARTS):  # the shuffle files of one part are gone before those of the next
+        by_text = near.where(F.pmod(F.xxhash64("tid"), F.lit(PARTS)) == i).join(shared.hint("shuffle_hash"), "key").groupBy("tid").agg(F.collect_list(F.struct("key", "at", "here", "behind")).alias("s"))
+        with arrow_rows(near.sparkSession, 1000):
+            parts.append(cut(by_text.join(spans.hint("shuffle_hash"), "tid", "left").select("tid", "s", "spans").mapInArrow(_end_rows, "tid long, key long, at long, open boolean, first boolean")))
+    drop_cut(spans)
     drop_cut(shared)
-    return ends
+    return parts
 
 
 def merged(spans: DataFrame, by: str) -> DataFrame:
@@ -532,7 +556,7 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     by_text = windows.join(shared.hint("shuffle_hash"), "key").groupBy("rid").agg(F.collect_list(F.struct("key", "at")).alias("w"))
     made = by_text.join(owners.select("rid", "tid"), "rid").select("tid", "w")
     with arrow_rows(docs.sparkSession, 1000):  # rows hold all windows of a text
-        rows = cut(made.mapInArrow(_cell_rows, "tid long, key long, at long"))
+        rows = cut(made.mapInArrow(_cell_rows, "tid long, key long, at long, first boolean"))
     drop_cut(every)
     drop_cut(shared)
     hubs = first_holders(rows)
@@ -545,14 +569,15 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     near = near_open(rows, hubs, got.where("key is not null").select("key"), texts)
     for done in (rows, hubs, used):
         drop_cut(done)
-    ends = passage_ends(near, got)
+    parts = passage_ends(near, got)
     drop_cut(near)
+    ends = reduce(DataFrame.union, parts)
     firsts = first_holders(ends)
     again = hub_pairs(ends.where("open").select("tid", "key", "at").join(firsts.hint("shuffle_hash"), "key"))
     more = cut(with_new_shifts(again, pairs))
     few = cut(more.select(F.explode(F.array("d", "e")).alias("tid")).distinct())
     found = got.union(verified(more, texts.join(few, "tid", "left_semi"))).where("key is null").drop("key")
-    for done in (pairs, texts, ends, firsts, again, more, few):
+    for done in (pairs, texts, *parts, firsts, again, more, few):
         drop_cut(done)
 
     by_source = found.join(owners.select(F.col("tid").alias("e"), F.col("first_id").alias("source")), "e")

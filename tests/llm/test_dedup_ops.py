@@ -455,3 +455,52 @@ def test_words_by_bytes_are_those_of_the_pattern():
     for text in odd:
         assert plain(text) == "\n".join(re.findall(r"\w+", text)).lower()
         assert len(words_of(text)) == len(word_spans(text))
+
+
+def test_ends_by_parts(spark, monkeypatch):
+    """Each part of passage_ends shuffles its own texts only, and all parts have the rows of one."""
+    rnd = random.Random(21)
+    line = words(rnd, 60)
+    rows = [(i, " ".join(words(rnd, 8) + line + words(rnd, 8)), [20, 50]) for i in range(40)]
+    near = spark.createDataFrame(rows, "tid long, text string, places array<int>").withColumn("text", F.replace("text", F.lit(" "), F.lit("\n"))).mapInArrow(sub._near_rows, "tid long, key long, at long")
+    found = spark.createDataFrame([(i, 8, 68, 0, 8, 68, None) for i in range(1, 20)], sub._FOUND)
+
+    def ends(n):
+        monkeypatch.setattr(sub, "PARTS", n)
+        return [[tuple(r) for r in p.select("tid", "key", "at").where("open").collect()] for p in sub.passage_ends(near, found)]
+
+    (whole,), parts = ends(1), ends(4)
+    assert len(parts) == 4 and max(map(len, parts)) < len(whole)
+    assert sorted(sum(parts, [])) == sorted(whole) and {r[0] for r in whole} == {0, *range(20, 40)}
+    assert not set.intersection(*({r[0] for r in p} for p in parts))
+
+
+def test_rows_near_places_of_many_texts():
+    rnd = random.Random(22)
+    texts = [words(rnd, n) for n in (50, 300, 61, 140)]
+    h, sizes = word_hashes(["\n".join(t) for t in texts])
+    places = [(0, 3), (1, 10), (1, 250), (3, 139)]
+    text, key, at = sub.near_rows(h, sizes, *np.array(places).T)
+    want = set()
+    for i, t in enumerate(texts):
+        own = hashes_of(" ".join(t))
+        for kind, k in ((0, sub.SHINGLE_WORDS), (1, sub.RUN)):
+            for x in range(len(t) - k + 1):
+                if any(i == j and c - sub.REACH <= x < c + sub.REACH for j, c in places):
+                    of = shingles_of(own)[x] if kind == 0 else run_hashes(own, np.array([x]), np.array([x + k]))[0]
+                    want.add((i, int(of), x << 1 | kind))
+    got = list(zip(text.tolist(), key.tolist(), at.tolist(), strict=True))
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_first_holder_is_the_least_text_at_its_least_place(spark):
+    rnd = np.random.default_rng(23)
+    text, key, at = rnd.integers(0, 30, 3000), rnd.integers(0, 400, 3000), rnd.integers(0, 50, 3000)
+    first = sub.least_places(text, key, at)
+    rows = [tuple(r) for r in np.stack([text, key, at, first], 1).tolist()]
+    df = spark.createDataFrame([(t, k, a, bool(f)) for t, k, a, f in rows], "tid long, key long, at long, first boolean")
+    want = {}
+    for t, k, a, _ in rows:
+        e, place, n = want.get(k, (t, a, 0))
+        want[k] = (*min((e, place), (t, a)), n + 1)
+    assert {(r.key, r.e, r.place, r.n) for r in sub.first_holders(df).collect()} == {(k, *w) for k, w in want.items() if w[2] > 1}
