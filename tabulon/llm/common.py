@@ -21,6 +21,8 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 #: An odd base of polynomial hashes, the words hashed at once, and the bytes of a word from which xxhash takes it.
 BASE, CHUNK, HUGE = 0x9FB21C651E98DF25, 1 << 15, 1 << 12
+#: Whether Spark deletes the shuffle files of a query at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _WORD = re.compile(r"\w+")
 #: What plain() makes of each byte of UTF-8, and what else parts words.
 _BYTES = bytes(i if i > 127 else ord(chr(i).lower()) if _WORD.match(chr(i)) else 10 for i in range(256))
@@ -61,14 +63,26 @@ def _tidy() -> None:
             _delete(spark, path)
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """The session's setting `name` for what runs inside."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df once to the shared folder and read it back, so that lost executors recompute nothing before it.
 
-    The shuffle files behind df are then needless; the driver's collection of garbage lets Spark delete them.
+    The shuffle files behind df are then needless: Spark deletes them as the write ends, and what is left of others when the driver collects garbage.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tabulon-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with setting(spark, CLEANUP, "true"):
+        df.write.parquet(path)
     _written.append((spark, path))
     gc.collect()
     spark.sparkContext._jvm.System.gc()
@@ -79,12 +93,9 @@ def cut(df: DataFrame) -> DataFrame:
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Batches of at most `rows` rows between Spark and Python for what is written inside: for rows with long texts."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
-    try:
+    before = int(spark.conf.get(name))
+    with setting(spark, name, str(min(rows, before) if before > 0 else rows)):
         yield
-    finally:
-        spark.conf.set(name, before)
 
 
 def drop_cut(df: DataFrame) -> None:

@@ -28,8 +28,8 @@ LEAST = int(SIMILARITY * (STEP + 1))
 KEY_WORDS = 4
 #: Such runs in a passage of MIN_WORDS words; a window's place takes 6 bits each for what lies before and behind it.
 WIDTH = MIN_WORDS - KEY_WORDS + 1
-#: In so many parts, by text, the ends of passages are looked for one after the other, as their shuffle takes more disk than any other.
-PARTS = 4
+#: In so many parts, by text, pairs are verified and the ends of passages looked for, one after the other, as their shuffles take more disk than any other.
+PARTS = 2
 _SEEDS = mix64(np.arange(11, 11 + 8, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
@@ -376,11 +376,20 @@ def hub_pairs(far: DataFrame) -> DataFrame:
     return cut(far.groupBy(F.col("tid").alias("d"), "e").agg(F.array_union(*apart).alias("shifts"), cells_.alias("cells")))
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Passages of all pairs and the keys that lie in none; see _verify. texts are plain()."""
-    both = pairs.join(texts.withColumnRenamed("tid", "d"), "d").join(texts.select(F.col("tid").alias("e"), F.col("text").alias("other")), "e")
-    with arrow_rows(texts.sparkSession, 500):
-        return cut(both.select("d", "e", "text", "other", "shifts", "cells").mapInArrow(_verify, _FOUND))
+def part(df: DataFrame, by: str, i: int) -> DataFrame:
+    """The rows of the i-th of PARTS parts of the texts in column `by`."""
+    return df.where(F.pmod(F.xxhash64(by), F.lit(PARTS)) == i)
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> list[DataFrame]:
+    """Passages of all pairs and the keys that lie in none, in PARTS tables by text e; see _verify. texts are plain()."""
+    first, second = texts.withColumnRenamed("tid", "d"), texts.select(F.col("tid").alias("e"), F.col("text").alias("other"))
+    parts = []
+    for i in range(PARTS):  # of the pairs' texts, that of d goes through two shuffles
+        both = part(pairs, "e", i).join(first, "d").join(part(second, "e", i), "e")
+        with arrow_rows(texts.sparkSession, 500):
+            parts.append(cut(both.select("d", "e", "text", "other", "shifts", "cells").mapInArrow(_verify, _FOUND)))
+    return parts
 
 
 def with_new_shifts(more: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -494,7 +503,7 @@ def passage_ends(near: DataFrame, found: DataFrame) -> list[DataFrame]:
     spans = cut(spans.groupBy("tid").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
     parts = []
     for i in range(PARTS):  # the shuffle files of one part are gone before those of the next
-        by_text = near.where(F.pmod(F.xxhash64("tid"), F.lit(PARTS)) == i).join(shared.hint("shuffle_hash"), "key").groupBy("tid").agg(F.collect_list(F.struct("key", "at", "here", "behind")).alias("s"))
+        by_text = part(near, "tid", i).join(shared.hint("shuffle_hash"), "key").groupBy("tid").agg(F.collect_list(F.struct("key", "at", "here", "behind")).alias("s"))
         with arrow_rows(near.sparkSession, 1000):
             parts.append(cut(by_text.join(spans.hint("shuffle_hash"), "tid", "left").select("tid", "s", "spans").mapInArrow(_end_rows, "tid long, key long, at long, open boolean, first boolean")))
     drop_cut(spans)
@@ -565,7 +574,7 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     with arrow_rows(docs.sparkSession, 1000):
         own = src.join(used, ["id", "d"]).groupBy("id", "d").agg(F.first("tid").alias("tid"), F.first("text").alias("text"))  # by the keys of the join
         texts = cut(own.select("tid", "text").mapInArrow(_plain_rows, "tid long, text string"))
-    got = verified(pairs, texts)
+    got = reduce(DataFrame.union, verified(pairs, texts))
     near = near_open(rows, hubs, got.where("key is not null").select("key"), texts)
     for done in (rows, hubs, used):
         drop_cut(done)
@@ -575,9 +584,12 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     firsts = first_holders(ends)
     again = hub_pairs(ends.where("open").select("tid", "key", "at").join(firsts.hint("shuffle_hash"), "key"))
     more = cut(with_new_shifts(again, pairs))
-    few = cut(more.select(F.explode(F.array("d", "e")).alias("tid")).distinct())
-    found = got.union(verified(more, texts.join(few, "tid", "left_semi"))).where("key is null").drop("key")
-    for done in (pairs, texts, *parts, firsts, again, more, few):
+    for done in (pairs, *parts, firsts, again):
+        drop_cut(done)
+    few = cut(texts.join(more.select(F.explode(F.array("d", "e")).alias("tid")).distinct(), "tid", "left_semi"))
+    drop_cut(texts)
+    found = reduce(DataFrame.union, verified(more, few), got).where("key is null").drop("key")
+    for done in (more, few):
         drop_cut(done)
 
     by_source = found.join(owners.select(F.col("tid").alias("e"), F.col("first_id").alias("source")), "e")

@@ -2,12 +2,14 @@
 
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tabulon.llm import common
 from tabulon.llm import embedding_dedup as emb
 from tabulon.llm import near_dedup as near
 from tabulon.llm import substring_dedup as sub
@@ -504,3 +506,45 @@ def test_first_holder_is_the_least_text_at_its_least_place(spark):
         e, place, n = want.get(k, (t, a, 0))
         want[k] = (*min((e, place), (t, a)), n + 1)
     assert {(r.key, r.e, r.place, r.n) for r in sub.first_holders(df).collect()} == {(k, *w) for k, w in want.items() if w[2] > 1}
+
+
+def test_verified_by_parts(spark, monkeypatch):
+    """Each part of verified takes the pairs of its own texts e only, and all parts have the rows of one."""
+    rnd = random.Random(22)
+    line = words(rnd, 60)
+    texts = spark.createDataFrame([(i, "\n".join(words(rnd, 8) + (line if i != 7 else []) + words(rnd, 8))) for i in range(40)], "tid long, text string")
+    pairs = spark.createDataFrame([(d, d % 20, [0], [d, 20 << 32 | 30]) for d in range(20, 40)] + [(30, 7, [0], [99, 20 << 32 | 30])], "d long, e long, shifts array<int>, cells array<long>")
+
+    def rows(n):
+        monkeypatch.setattr(sub, "PARTS", n)
+        return [[tuple(r) for r in p.collect()] for p in sub.verified(pairs, texts)]
+
+    (whole,), parts = rows(1), rows(4)
+    order = lambda x: sorted(x, key=str)
+    assert len(parts) == 4 and max(map(len, parts)) < len(whole)
+    assert order(sum(parts, [])) == order(whole)
+    assert order(whole) == order([(d, 8, 68, d % 20, 8, 68, None) for d in range(20, 40) if d != 27] + [(None,) * 6 + (k,) for k in (27, 99)])
+    sources = [{r[3] for r in p if r[3] is not None} for p in parts]
+    assert sum(map(len, sources)) == len(set.union(*sources)) == 19
+
+
+def test_cut_deletes_shuffle_files(spark, monkeypatch):
+    """The shuffle files of what cut writes go as the write ends, before and without a collection of garbage."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        every = disk.getAllFiles()
+        return {n for i in range(every.size()) if (n := every.apply(i).getName()).startswith("shuffle_")}
+
+    def collect():
+        until = time.time() + 10
+        while (new := files() - before) and time.time() < until:
+            time.sleep(0.1)
+        left.append(new)
+
+    left, before, name = [], files(), common.CLEANUP
+    was = spark.conf.get(name)
+    monkeypatch.setattr(common.gc, "collect", collect)
+    df = common.cut(spark.range(1000).groupBy((F.col("id") % 100).alias("k")).agg(F.count("*").alias("n")))
+    assert left == [set()] and spark.conf.get(name) == was
+    assert df.count() == 100 and df.agg(F.sum("n")).first()[0] == 1000
