@@ -21,6 +21,8 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 #: An odd base of polynomial hashes, the words hashed at once, and the bytes of a word from which xxhash takes it.
 BASE, CHUNK, HUGE = 0x9FB21C651E98DF25, 1 << 15, 1 << 12
+#: So many edges at most are united in one task.
+ONE_TASK = 1 << 18
 #: Whether Spark deletes the shuffle files of a query at its end.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _WORD = re.compile(r"\w+")
@@ -209,12 +211,40 @@ def pieces(batches: Iterable[pa.RecordBatch], text_col: str, max_bytes: int = 4
             yield b.slice(int(a), int(z - a))
 
 
+def united(a: pa.Array, b: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """All nodes on the edges (a, b) in rising order, and the smallest node reachable from each."""
+    nodes = pc.unique(pa.concat_arrays([a, b]))
+    nodes = nodes.take(pc.sort_indices(nodes))
+    parent = list(range(len(nodes)))
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for x, y in zip(pc.index_in(a, nodes).to_pylist(), pc.index_in(b, nodes).to_pylist(), strict=True):
+        x, y = top(x), top(y)
+        parent[max(x, y)] = min(x, y)
+    return nodes, nodes.take(pa.array([top(x) for x in range(len(nodes))], pa.int64()))
+
+
+def _united_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if got := [b for b in batches if b.num_rows]:
+        nodes, tops = united(*(pa.concat_arrays([b.column(c) for b in got]) for c in ("u", "v")))
+        yield pa.RecordBatch.from_arrays([nodes, tops], names=["node", "component"])
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for all nodes on edges; component is the smallest node reachable.
 
-    Alternates large-star and small-star steps, each a grouped minimum that is partly aggregated
-    before its shuffle, until nothing changes. Every round is written to the shared folder.
+    Up to ONE_TASK edges are united in one task. More alternate large-star and small-star steps, each a grouped minimum that is
+    partly aggregated before its shuffle, until nothing changes; every round is written to the shared folder.
     """
+    ends = edges.where(F.col(a) != F.col(b)).select(F.col(a).alias("u"), F.col(b).alias("v"))
+    if ends.count() <= ONE_TASK:
+        kind = ends.schema["u"].dataType.simpleString()
+        return ends.repartition(1).mapInArrow(_united_rows, f"node {kind}, component {kind}")
     pair = F.array_sort(F.array(F.col(a), F.col(b)))
     e = cut(edges.where(F.col(a) != F.col(b)).select(pair[1].alias("u"), pair[0].alias("v")).distinct())
     h = F.xxhash64("u", "v")

@@ -19,6 +19,8 @@ from .decontaminate import content_key
 SKETCHES, KMERS = 16, 3
 _SEEDS = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 HUBS, FEW, MANY = 2, 256, 1024
+#: Shingles of texts that are counted against another text at once.
+AT_ONCE = 1 << 20
 
 
 def labelled(s: np.ndarray) -> np.ndarray:
@@ -91,6 +93,28 @@ def similarity(a: Kmers, b: Kmers, least: float = SIMILARITY) -> float:
     return s if s >= least - 1e-12 else 0.0
 
 
+def enough(few: list[Kmers], many: list[Kmers], least: float = SIMILARITY) -> Iterator[tuple[int, int]]:
+    """Positions of the pairs that similarity() does not turn down by the number of their shingles and of those equal.
+
+    These are counted for a text against many at once, over the sorted shingles of some AT_ONCE of all of them.
+    """
+    sizes = np.array([y.n for y in many], np.int64)
+    part = np.cumsum(sizes) // AT_ONCE
+    starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(many) else []
+    for a, z in zip(starts, [*starts[1:], len(many)], strict=False):
+        every = np.concatenate([y.sorted for y in many[a:z]])
+        order = np.argsort(every, kind="stable")
+        every, owner = every[order], np.repeat(np.arange(z - a), sizes[a:z])[order]
+        for i, x in enumerate(few):
+            lo, hi = np.searchsorted(every, x.sorted), np.searchsorted(every, x.sorted, "right")
+            n = hi - lo
+            at = np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)
+            need = least * (x.n + sizes[a:z]) / (1 + least) - 1e-9
+            same = np.bincount(owner[at], minlength=z - a)
+            for j in np.flatnonzero((same >= need) & (np.minimum(x.n, sizes[a:z]) >= need)).tolist():
+                yield i, int(a) + j
+
+
 def _hashes(words: bytes) -> np.ndarray:
     return np.frombuffer(words, np.uint64)
 
@@ -138,14 +162,14 @@ def _compare(least: float):
             return x
 
         few, many = g[g.few], g[~g.few]
-        made = [(k, c, Kmers(_hashes(w))) for k, c, w in zip(many.key, many.comp, many.words, strict=True)]
+        made = [[Kmers(_hashes(w)) for w in part.words] for part in (few, many)]
+        keys, keys2, comps, comps2 = (part[c].tolist() for c in ("key", "comp") for part in (few, many))
         out = []
-        for k, c, w in zip(few.key, few.comp, few.words, strict=True):
-            x = Kmers(_hashes(w))
-            for k2, c2, y in made:
-                if top(c) != top(c2) and similarity(x, y, least):
-                    parent[top(c)] = top(c2)
-                    out.append((k, k2))
+        for i, j in enough(*made, least):
+            c, c2 = top(comps[i]), top(comps2[j])
+            if c != c2 and similarity(made[0][i], made[1][j], least):
+                parent[c] = c2
+                out.append((keys[i], keys2[j]))
         return pd.DataFrame(out, columns=["a", "b"])
 
     return run
@@ -168,11 +192,10 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: f
     made = T.StructType([*src.select("id", "ck").schema.fields, T.StructField("key", T.BinaryType()), T.StructField("sketches", T.ArrayType(T.LongType()))])
     rows = cut(src.mapInArrow(_sketch, made))
     named = rows.where("key is not null and id is not null")
-    classes = named.groupBy("key").agg(F.min(F.struct("id", "ck")).alias("first"), F.count("*").alias("n"), F.first("sketches").alias("sketches"))
-    spread = cut(classes.select("key", F.posexplode("sketches").alias("i", "sig")).select("key", F.xxhash64("i", "sig").alias("sig")))
+    classes = cut(named.groupBy("key").agg(F.min(F.struct("id", "ck")).alias("first"), F.count("*").alias("n"), F.first("sketches").alias("sketches")))
+    spread = classes.select("key", F.posexplode("sketches").alias("i", "sig")).select("key", F.xxhash64("i", "sig").alias("sig"))
     sizes = cut(spread.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1"))
     shared = cut(spread.join(sizes, "sig"))
-    drop_cut(spread)
     drop_cut(sizes)
     central = shared.groupBy("key").agg(F.sum("size").alias("met"))  # the more others meet it, the nearer it is to all
     part = F.pmod(F.hash("key"), F.lit(HUBS)).alias("part")
@@ -196,8 +219,8 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: f
     few = spot.where("comp <> main").select("sig", "key", "comp", F.pmod(F.hash("key"), "blocks").alias("x"), F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("y"), F.lit(True).alias("few"))
     many = spot.select("sig", "key", "comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"), F.pmod(F.hash("key"), "wide").alias("y"), F.lit(False).alias("few"))
     more = few.unionByName(many).join(words, "key").groupBy("sig", "x", "y").applyInPandas(_compare(least), "a binary, b binary")
-    comps = components(links.union(cut(more.distinct())))
-    for done in (shared, hubs, pairs, words, rest):
+    comps = cut(components(links.union(cut(more.distinct()))))
+    for done in (shared, hubs, pairs, words, links, rest):
         drop_cut(done)
 
     info = classes.drop("sketches").join(comps, F.col("key") == F.col("node"), "left").select("key", "first", "n", F.coalesce("component", "key").alias("component"))

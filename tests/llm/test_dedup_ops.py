@@ -6,6 +6,7 @@ import time
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -548,3 +549,48 @@ def test_cut_deletes_shuffle_files(spark, monkeypatch):
     df = common.cut(spark.range(1000).groupBy((F.col("id") % 100).alias("k")).agg(F.count("*").alias("n")))
     assert left == [set()] and spark.conf.get(name) == was
     assert df.count() == 100 and df.agg(F.sum("n")).first()[0] == 1000
+
+
+@pytest.mark.parametrize("most", [0, common.ONE_TASK])
+def test_few_edges_are_united_in_one_task(spark, monkeypatch, most):
+    rnd, written = random.Random(11), []
+    monkeypatch.setattr(common, "ONE_TASK", most)
+    monkeypatch.setattr(common, "cut", lambda df, cut=common.cut: written.append(df) or cut(df))
+    name = lambda i: (i * 40503 % 65536).to_bytes(2, "big")  # noqa: E731  bytes from 128 on too
+    edges = [(name(rnd.randrange(60)), name(rnd.randrange(60))) for _ in range(40)] + [(name(100 + i), name(101 + i)) for i in range(50)]
+    frame = spark.createDataFrame([*edges, edges[0], (name(5), name(5)), (None, name(7)), (name(8), None)], "a binary, b binary")
+    got = {bytes(r.node): bytes(r.component) for r in components(frame).collect()}
+    u = Union()
+    for a, b in edges:
+        if a != b:
+            u.join(a, b)
+    assert got == {k: u.top(k) for k in u.p}
+    assert bool(written) == (most == 0)
+
+
+def test_only_texts_with_enough_equal_shingles_are_aligned(monkeypatch):
+    rnd, aligned, similarity = random.Random(12), [], near.similarity
+    bases = [words(rnd, n) for n in (6, 60, 60, 300)] + [["w"] * 90]
+    texts = sorted({" ".join(edited(rnd, b, share)) for b in bases for share in (0, 0.01, 0.02, 0.1, 0.3) for _ in range(4)})
+    rnd.shuffle(texts)
+    made = [kmers(t) for t in texts]
+    bound = lambda a, b: 0.8 * (a.n + b.n) / 1.8 - 1e-9
+    want = {(i, j) for i, a in enumerate(made[:20]) for j, b in enumerate(made) if min(a.n, b.n) >= bound(a, b) and len(np.intersect1d(a.sorted, b.sorted)) >= bound(a, b)}
+    for at_once in (1, 500, near.AT_ONCE):
+        monkeypatch.setattr(near, "AT_ONCE", at_once)
+        assert sorted(near.enough(made[:20], made)) == sorted(want)
+    assert list(near.enough(made[:20], [])) == list(near.enough([], made)) == []
+    linked = {(i, j) for i, a in enumerate(made[:20]) for j, b in enumerate(made) if similarity(a, b)}
+    assert linked <= want and len(linked) > 20
+    monkeypatch.setattr(near, "similarity", lambda *a: aligned.append(a) or similarity(*a))
+    rows = [(bytes([i]), bytes([i]), hashes_of(texts[i]).tobytes(), few) for few, n in ((True, 20), (False, len(texts))) for i in range(n)]
+    out = near._compare(0.8)(pd.DataFrame(rows, columns=["key", "comp", "words", "few"]))
+    found, whole = Union(), Union()
+    for i in range(len(texts)):
+        found.top(i), whole.top(i)
+    for a, b in zip(out.a, out.b, strict=True):
+        found.join(a[0], b[0])
+    for i, j in linked:
+        whole.join(i, j)
+    assert [found.top(i) for i in range(len(texts))] == [whole.top(i) for i in range(len(texts))]
+    assert len(aligned) <= len(want) < 20 * len(texts) / 4
